@@ -20,7 +20,7 @@ UNITS = "apartment apt suite ste unit floor fl shop flat room rm bureau etage bt
 NUMBER_WORDS = "no number nos hno house door plot".split()
 LANDMARK_WORDS = "near nr opposite opp behind beside next above".split()
 QUARTERS = "peth gunj wadi layout".split()
-ONE_WORD = set("church main park bridge mill school market station temple college fort bazaar tank bund hill high river lake eglise gare mairie bains".split())
+ONE_WORD = set("church main park bridge mill school market station temple college fort bazaar hill high river lake eglise gare mairie bains".split())
 SMALL = set("de des du la le les l d of the and et a".split())
 REGION_HEADS = "pradesh valley".split()
 SPLIT_NUMBER = re.compile(r"(?<![\w-])(\d{1,3}(?:-\d{1,3})+(?:\s?/\s?|\s)?\d{0,3}|\d{1,4}/\d{1,4})(?![\w-])")
