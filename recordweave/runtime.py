@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
 def blank_to_null(c):
     """Null for null, empty and white-space-only strings."""
     return F.when(F.trim(c) == "", None).otherwise(c)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, where they may not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_recordweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="recordweave-")) / "recordweave.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(to))  # the driver serves it to every executor
+    sc._recordweave_shipped = True
