@@ -25,8 +25,8 @@ def matches(spark: SparkSession, d: str) -> DataFrame:
     """Matches of the test split with confidence, calibrated on labelled pairs of the train split."""
     m = table(spark, d, "train_matches").select("source1_entity_id", "matched_entity_ids")
     truth = explode_packed(m, "matched_entity_ids", "matched_entity_id", item=ID).select("source1_entity_id", "matched_entity_id").distinct()
-    weights = matching.labelled_weights(_sources(spark, d, 1, split="train"), _sources(spark, d, 2, 3, split="train"), truth, matching.Plan())
-    return matching.match(_sources(spark, d, 1), _sources(spark, d, 2, 3), weights)
+    labels = _sources(spark, d, 1, split="train"), _sources(spark, d, 2, 3, split="train"), truth
+    return matching.match(_sources(spark, d, 1), _sources(spark, d, 2, 3), labels)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
