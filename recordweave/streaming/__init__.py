@@ -1,0 +1 @@
+"""Streaming: record linkage here is batch; there are no streaming operators."""
