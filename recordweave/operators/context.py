@@ -67,25 +67,31 @@ def sampled_competition(pairs: DataFrame, score: str, record: list[str], drawn:
     )
 
 
-def siblings(pairs: DataFrame, records: DataFrame, query: str, record: str, p: str, least: float = 0.5) -> DataFrame:
+def siblings(pairs: DataFrame, records: DataFrame, query: str, record: str, p: str, least: float = 0.5, best: int = 20) -> DataFrame:
     """(query, record, sib_n, sib_pmass, and agreement with the query's OTHER candidates of p >= least).
 
     records has record, core and nums (array). Name agreement is the edit ratio of cores, number agreement the shared share
     of number sets: maximum, p-weighted mean and share of equal sets; null without siblings or where a side is empty.
+    sib_n and sib_pmass count all siblings, from sums per query. Agreement is taken over the `best` ones (by p, then
+    record), so that a query with very many candidates costs a row a candidate and sibling taken, not a row a pair.
     """
     from recordweave.functions.strings import edit_ratio, set_jaccard
 
     info = records.select(F.col(record), "core", "nums")
-    d = pairs.select(query, record, p).join(info, record)
-    s = pairs.filter(F.col(p) >= least).select(query, F.col(record).alias("_r"), F.col(p).alias("_p"))
+    w = Window.partitionBy(query)
+    is_sib = F.col(p) >= least
+    x = pairs.select(query, record, p).withColumns({"_all": F.sum(is_sib.cast("long")).over(w), "_mass": F.sum(F.when(is_sib, F.col(p)).otherwise(0.0)).over(w), "_rank": F.row_number().over(w.orderBy(F.col(p).desc(), record))})
+    own = is_sib.cast("long")
+    d = x.join(info, record)
+    s = x.filter(is_sib & (F.col("_rank") <= best + 1)).select(query, F.col(record).alias("_r"), F.col(p).alias("_p"), F.col("_rank").alias("_k"))
     s = s.join(info.select(F.col(record).alias("_r"), F.col("core").alias("_core"), F.col("nums").alias("_nums")), "_r")
-    j = d.join(s, query).filter(F.col(record) != F.col("_r"))
+    j = d.join(s, query).filter((F.col(record) != F.col("_r")) & ((F.col("_k") <= best) | (F.col("_rank") <= best)))
     name = F.when((F.col("core") != "") & (F.col("_core") != ""), edit_ratio(F.col("core"), F.col("_core")))
     nums = set_jaccard(F.col("nums"), F.col("_nums"))
     same = F.when((F.size("nums") > 0) & (F.size("_nums") > 0), (F.array_sort("nums") == F.array_sort("_nums")).cast("double"))
     j = j.withColumns({"_name": name, "_nj": nums, "_eq": same})
     mean = lambda c: F.sum(F.col(c) * F.col("_p")) / F.sum(F.when(F.col(c).isNotNull(), F.col("_p")))
-    a = j.groupBy(query, record).agg(
-        F.count(F.lit(1)).alias("sib_n"), F.sum("_p").alias("sib_pmass"), F.max("_name").alias("sib_name_max"), mean("_name").alias("sib_name_wmean"), F.max("_nj").alias("sib_num_max"), mean("_nj").alias("sib_num_wmean"), F.avg("_eq").alias("sib_num_eq_frac")
-    )
-    return pairs.select(query, record).join(a, [query, record], "left").withColumn("sib_n", F.coalesce("sib_n", F.lit(0)))
+    a = j.groupBy(query, record).agg(F.max("_name").alias("sib_name_max"), mean("_name").alias("sib_name_wmean"), F.max("_nj").alias("sib_num_max"), mean("_nj").alias("sib_num_wmean"), F.avg("_eq").alias("sib_num_eq_frac"))
+    n = F.col("_all") - own
+    counts = x.select(query, record, n.alias("sib_n"), F.when(n > 0, F.col("_mass") - F.when(is_sib, F.col(p)).otherwise(0.0)).alias("sib_pmass"))
+    return counts.join(a, [query, record], "left")

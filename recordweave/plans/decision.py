@@ -222,11 +222,13 @@ round(coalesce(sum(b.p) filter (where b.d and b.s1_pos != a.s1_pos), 0), 6) as s
     "name_freq": base.SQL + " select country, core, count(*) filter (where src = 1) as n_s1, count(*) filter (where src != 1) as n_rec from rec where split = 'test' and core != '' group by all",
     "sibling_features": base.SQL
     + f""", {base.SCORED}, ri as (select src, pos as r_pos, min(core) as core, min(addr) as addr from rec where split = 'test' and src != 1 group by all), rn as (select src, r_pos, core, list_sort(list_distinct(regexp_extract_all(addr, '\\d+'))) as nums from ri),
+sr as (select *, row_number() over (partition by s1_pos order by p desc, src, r_pos) as k from sc),
 jj as (select d.s1_pos, d.src, d.r_pos, s.p as sp, case when x.core != '' and y.core != '' then 1 - levenshtein(x.core, y.core) / greatest(length(x.core), length(y.core))::double end as nm,
 case when len(x.nums) > 0 and len(y.nums) > 0 then len(list_intersect(x.nums, y.nums))::double / len(list_distinct(list_concat(x.nums, y.nums))) end as nj, case when len(x.nums) > 0 and len(y.nums) > 0 then (x.nums = y.nums)::integer::double end as eq
-from sc d join rn x using (src, r_pos) join sc s on s.s1_pos = d.s1_pos and s.p >= 0.5 and not (s.src = d.src and s.r_pos = d.r_pos) join rn y on y.src = s.src and y.r_pos = s.r_pos),
-ja as (select s1_pos, src, r_pos, count(*) as n, sum(sp) as pm, max(nm) as a1, sum(nm * sp) / sum(case when nm is not null then sp end) as a2, max(nj) as a3, sum(nj * sp) / sum(case when nj is not null then sp end) as a4, avg(eq) as a5 from jj group by all)
-select sc.s1_pos, sc.src, sc.r_pos, coalesce(n, 0)::bigint as sib_n, round(pm, 5) as sib_pmass, round(a1, 5) as sib_name_max, round(a2, 5) as sib_name_wmean, round(a3, 5) as sib_num_max, round(a4, 5) as sib_num_wmean, round(a5, 5) as sib_num_eq_frac from sc left join ja using (s1_pos, src, r_pos)""",
+from sr d join rn x using (src, r_pos) join sr s on s.s1_pos = d.s1_pos and s.p >= 0.5 and not (s.src = d.src and s.r_pos = d.r_pos) and (s.k <= 20 or s.k = 21 and d.k <= 20) join rn y on y.src = s.src and y.r_pos = s.r_pos),
+ja as (select s1_pos, src, r_pos, max(nm) as a1, sum(nm * sp) / sum(case when nm is not null then sp end) as a2, max(nj) as a3, sum(nj * sp) / sum(case when nj is not null then sp end) as a4, avg(eq) as a5 from jj group by all),
+sn as (select s1_pos, src, r_pos, (sum((p >= 0.5)::integer) over (partition by s1_pos) - (p >= 0.5)::integer)::bigint as n, sum(case when p >= 0.5 then p else 0 end) over (partition by s1_pos) - case when p >= 0.5 then p else 0 end as pm from sc)
+select s1_pos, src, r_pos, n as sib_n, case when n > 0 then round(pm, 5) end as sib_pmass, round(a1, 5) as sib_name_max, round(a2, 5) as sib_name_wmean, round(a3, 5) as sib_num_max, round(a4, 5) as sib_num_wmean, round(a5, 5) as sib_num_eq_frac from sn left join ja using (s1_pos, src, r_pos)""",
     "one_owner": f"{_SC}, {_OWN} select s1_pos, src, r_pos, p from ow where own",
     "decide_keep": f"{_SC}, {_OWN} select s1_pos, src, r_pos, p from rr where {_KEEP(0.6, 0.7)}",
     "country_probe": f"{_SC}, {_OWN}, cn as (select distinct pos as s1_pos, country from source1 where split = 'test'), ab as (select country, {_KEEP(0.6, 0.7)}::integer as a, {_KEEP("(case when country = 'India' then 0.7 else 0.6 end)", 0.7)}::integer as b from rr join cn using (s1_pos)) select country, sum(a)::bigint as n_before, sum(b)::bigint as n_after, sum((a != b)::integer)::bigint as n_changed from ab group by country",
