@@ -144,10 +144,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = 12, shard_rows: i
             n += len(b)
             if n >= shard_rows:
                 both, held, n = pd.concat(held), [], 0
-                yield search(shared.value, both.doc_id.to_numpy(), both.text.tolist())
+                if len(found := search(shared.value, both.doc_id.to_numpy(), both.text.tolist())):
+                    yield found
         if held:
             both = pd.concat(held)
-            yield search(shared.value, both.doc_id.to_numpy(), both.text.tolist())
+            if len(found := search(shared.value, both.doc_id.to_numpy(), both.text.tolist())):
+                yield found
 
     found = spread(docs.select("doc_id", "text").filter("text is not null"), "doc_id").mapInPandas(shards, f"doc_id {kind}, item_id {key}, n_words int, doc_word int, item_word int")
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("m")).select("doc_id", "item_id", "m.n_words", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"))

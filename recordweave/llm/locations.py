@@ -35,7 +35,8 @@ def parse(addresses: DataFrame) -> DataFrame:
                 parts = [p for p in parts if p]
                 grams = {" ".join(p[i : i + n]) for p in parts for n in (1, 2, 3) for i in range(len(p) - n + 1)}
                 rows.append((a, x.number, x.street or None, x.kind, ", ".join(" ".join(p) for p in parts), " ".join(parts[0]) if parts else None, " ".join(parts[-1]) if len(parts) > 1 else None, x.postal, sorted(grams)))
-            yield pd.DataFrame(rows, columns=["address", "number", "street", "kind", "rest", "first", "last", "postal", "grams"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["address", "number", "street", "kind", "rest", "first", "last", "postal", "grams"])
 
     return addresses.mapInPandas(run, PARSED)
 

@@ -79,7 +79,8 @@ def parse(names: DataFrame) -> DataFrame:
                 words = tidy(words)
                 whom = sorted(set().union(*(GIVEN[g] for g in given))) if given else []
                 rows.append((n, " ".join(words) + "|" + " ".join(whom), words, whom, forms(words)))
-            yield pd.DataFrame(rows, columns=["name", "key", "words", "given", "forms"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["name", "key", "words", "given", "forms"])
 
     p = names.mapInPandas(run, f"name string, key string, words array<string>, given array<string>, forms {FORMS}")
     return p.withColumn("node", F.xxhash64("key"))

@@ -79,7 +79,8 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
             if len(c) > 200_000:
                 yield pd.DataFrame({"word": list(c), "n": list(c.values())})
                 c.clear()
-        yield pd.DataFrame({"word": list(c), "n": list(c.values())})
+        if c:
+            yield pd.DataFrame({"word": list(c), "n": list(c.values())})
 
     return docs.select(text).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -122,7 +123,8 @@ def count_contexts(docs: DataFrame, text: str, vocab) -> DataFrame:
                 yield table()
                 n.clear()
                 ends.clear()
-        yield table()
+        if n:
+            yield table()
 
     return docs.select(text).mapInPandas(count, "context string, n long, ends long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
@@ -192,7 +194,8 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 if not fragment and (not any(map(word, x[-3:])) or heading and not cased or "://" in s.split()[-1]):
                     continue
                 rows.append((d, src, OPEN, contexts(x, len(x) - 1), heading, fragment))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "why", "contexts", "heading", "fragment"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "source", "why", "contexts", "heading", "fragment"])
 
     kind = {k: v for k, v in marked.dtypes}
     ends = cut(marked.mapInPandas(tails, f"doc_id {kind['doc_id']}, source {kind['source']}, why string, contexts array<string>, heading boolean, fragment boolean"))
