@@ -53,8 +53,8 @@ def postal_code(raw: str | None) -> str | None:
     """Five or six digits of a delivered postal code, letters typed for digits repaired; else None."""
     if not raw:
         return None
-    s = re.sub(r"\.0$|-\d{4}$", "", raw.strip().upper())
-    s = re.sub(r"[^0-9]", "", s.replace("O", "0").replace("I", "1").replace("L", "1").replace("PIN", ""))
+    s = re.sub(r"\.0$|-\d{4}$", "", raw.strip().upper().replace("PIN", ""))
+    s = re.sub(r"[^0-9]", "", s.replace("O", "0").replace("I", "1").replace("L", "1"))
     return s if len(s) in (5, 6) else None
 
 

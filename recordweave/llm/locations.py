@@ -110,7 +110,7 @@ def locate(records: DataFrame, clean: DataFrame) -> DataFrame:
     full = own.withColumn("delivered", F.pandas_udf(lambda s: s.map(postal_code, na_action="ignore").astype(object), "string")("postal")).join(parsed.withColumnRenamed("postal", "written"), "address")
     full = full.filter("number is not null and street is not null").join(placed, "rest", "left")
     full = full.select("address", "postal", "number", "street", F.coalesce("towns", F.array().cast("array<string>")).alias("towns"), F.coalesce("written", "delivered").alias("code"))
-    full = cut(full.withColumn("node", F.xxhash64("number", "street", F.array_join(F.array_sort("towns"), "|"))))
+    full = cut(full.withColumn("node", F.xxhash64("number", "street", F.array_join(F.array_sort("towns"), "|"), F.when(F.size("towns") == 0, F.coalesce("code", F.lit(""))).otherwise(""))))
     nodes = full.groupBy("node").agg(F.first("number").alias("number"), F.first("street").alias("street"), F.first("towns").alias("towns"))
     nodes = cut(nodes)
     streets = nodes.groupBy("number", "street").agg(F.xxhash64("number", "street").alias("id"))

@@ -24,6 +24,10 @@ def start(word: str) -> str:
     return m[0] if m else word
 
 
+def bones(word: str) -> str:
+    return re.sub("[aeiou]", "", word)
+
+
 def tidy(words: list[str]) -> list[str]:
     """At most two proper words where some of more look like misspelt trade words."""
     if sum(len(w) > 1 for w in words) > 2:
@@ -39,7 +43,8 @@ def tidy(words: list[str]) -> list[str]:
 def forms(words: list[str]) -> list[tuple[str, str, str, int]]:
     """(role, kind, string, edits): what a name puts into the index and asks of it.
 
-    Kinds: F full words, T first word cut to its start, I to its initial. Only names with two words stand for the cut ones.
+    Kinds: F full words, C their consonants (swapped letters and wrong vowels leave them as they are), T first word cut to
+    its start, I to its initial. Only names with two words stand for the cut ones.
     """
     long = [w for w in words if len(w) > 1]
     k = lambda s, most: min(most, 2 if len(s) >= 9 else 1)
@@ -48,6 +53,7 @@ def forms(words: list[str]) -> list[tuple[str, str, str, int]]:
         whole = "".join(long)
         orders = {whole, "".join(reversed(long))} | ({a + b for a, b in zip(long, long[1:])} if len(long) > 2 else set())
         out += [("i", "F", whole, e) for e in {1, 2}] + [("p", "F", s, k(s, 2)) for s in orders]
+        out += [("i", "C", bones(whole), 1)] + [("p", "C", b, 1) for b in {bones(s) for s in orders} if len(b) > 3]
         for a, b in zip(long, long[1:], strict=False):
             if start(a) != a:
                 out.append(("i", "T", start(a) + b, 1))
@@ -61,6 +67,7 @@ def forms(words: list[str]) -> list[tuple[str, str, str, int]]:
             out.append(("p", "I", letter[0] + long[0], 1))
         else:
             out += [("i", "F", long[0], e) for e in {1, 2}] + [("p", "F", long[0], k(long[0], 2)), ("p", "T", long[0], 1), ("p", "I", long[0], 1)]
+            out += [("i", "C", bones(long[0]), 1), ("p", "C", bones(long[0]), 1)] if len(bones(long[0])) > 3 else []
     return out
 
 
@@ -87,7 +94,7 @@ def parse(names: DataFrame) -> DataFrame:
 
 
 def _agree(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([k != "F" or same_words(list(x), list(y)) for k, x, y in zip(kind, a, b, strict=True)])
+    return pd.Series([k not in "FC" or same_words(list(x), list(y)) for k, x, y in zip(kind, a, b, strict=True)])
 
 
 def classes(names: DataFrame) -> DataFrame:
@@ -110,12 +117,12 @@ def classes(names: DataFrame) -> DataFrame:
     j = j.filter(F.pandas_udf(_agree, "boolean")("kind", "wa", "wb"))
     full = lambda c: F.size(F.filter(c, lambda w: F.length(w) > 1)) > 1
     links = cut(j.select("kind", "a", "b", "distance", full("wa").alias("fa"), full("wb").alias("fb")))
-    first = components(links.filter("kind = 'F' and fa and fb"))
+    first = components(links.filter("kind in ('F', 'C') and fa and fb"))
     base = nodes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("c0"))
     hub = base.withColumnsRenamed({"node": "a", "c0": "ca"})
     own = base.withColumnsRenamed({"node": "b", "c0": "cb"})
-    fits = links.filter("fa and (kind != 'F' or not fb)").join(hub, "a").join(own, "b").filter("ca != cb")
-    fits = fits.groupBy("b", "cb", "ca").agg(F.min(F.struct(F.when(F.col("kind") == "F", 0).otherwise(1).alias("o"), "distance")).alias("how"))
+    fits = links.filter("fa and (kind in ('T', 'I') or not fb)").join(hub, "a").join(own, "b").filter("ca != cb")
+    fits = fits.groupBy("b", "cb", "ca").agg(F.min(F.struct(F.when(F.col("kind").isin("F", "C"), 0).otherwise(1).alias("o"), "distance")).alias("how"))
     sizes = parsed.groupBy("node").count().join(base, "node").groupBy(F.col("c0").alias("ca")).agg(F.sum("count").alias("names"))
     w = Window.partitionBy("b")
     best = fits.join(sizes, "ca").withColumn("best", F.min("how").over(w)).filter("how = best")

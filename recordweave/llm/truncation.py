@@ -69,13 +69,19 @@ def word(c: str) -> bool:
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n), combined in the workers before anything is sent."""
+    """(word, n), combined in the workers before anything is sent.
+
+    The last word of a text without an end mark doesn't count: it may be a fragment, and one that is as common as words are.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
         for b in batches:
             for t in b[text]:
-                c.update(w for w in TOKENS(t) if w[0].isalpha())
+                words = [w for w in TOKENS(t) if w[0].isalpha()]
+                if words and strip_behind(t)[1] != "ended":
+                    words.pop()
+                c.update(words)
             if len(c) > 200_000:
                 yield pd.DataFrame({"word": list(c), "n": list(c.values())})
                 c.clear()
