@@ -167,14 +167,18 @@ UNIT = re.compile(r"sh|[^aeiou]|[aeiou]")
 
 
 def other_word(a: str, b: str) -> bool:
-    """Two words of the same vowels in which two or more consonants differ: another word, not a misspelling."""
+    """Words that differ in two letters, or in more consonants, each replaced in place: another word, not a misspelling.
+
+    Neighbours that changed places are a misspelling.
+    """
     x, y = UNIT.findall(a), UNIT.findall(b)
     if len(x) != len(y):
         return False
     differ = [(p, q) for p, q in zip(x, y, strict=True) if p != q]
-    if len(differ) < 2 or any(p in "aeiou" or q in "aeiou" for p, q in differ):
-        return False
-    return True
+    vowel = any(p in "aeiou" or q in "aeiou" for p, q in differ)
+    if len(differ) == 2:
+        return not (vowel and differ[0] == differ[1][::-1])
+    return len(differ) > 2 and not vowel
 
 
 def same_word(a: str, b: str) -> bool:
