@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordweave.runtime import cut, parallelism
+
 
 def add_context(pairs: DataFrame, score: str, query: list[str], record: list[str], prefix: str = "ctx") -> DataFrame:
     """pairs with rank and gap to the best among the query's candidates (per source) and the record's competitors.
@@ -67,31 +71,47 @@ def sampled_competition(pairs: DataFrame, score: str, record: list[str], drawn:
     )
 
 
-def siblings(pairs: DataFrame, records: DataFrame, query: str, record: str, p: str, least: float = 0.5, best: int = 20) -> DataFrame:
-    """(query, record, sib_n, sib_pmass, and agreement with the query's OTHER candidates of p >= least).
+def _value_agreement(x: DataFrame, query: str, value: str, p: str, there: Column, ratio: Callable[[Column, Column], Column], block: int) -> DataFrame:
+    """(query, value, _n, _w, _all_n, _all_w, _best, _sum) of each value of the query's candidates, compared with its siblings' other values.
+
+    _n and _w count and weigh the siblings of that value, _all_n and _all_w those of any value; _best and _sum are the maximum
+    and the weighted sum of ratio over the other values. Values are salted, so that a task compares about `block` siblings'
+    values with one salt's share, whatever the size of the query.
+    """
+    k = x.filter(there).groupBy(query, value).agg(F.sum(F.col("_sib").cast("long")).alias("_n"), F.sum(F.when(F.col("_sib"), F.col(p)).otherwise(0.0)).alias("_w"))
+    w = Window.partitionBy(query)
+    salts = F.greatest(F.lit(1), F.ceil(F.sum((F.col("_n") > 0).cast("long")).over(w) / block)).cast("int")
+    k = cut(k.withColumns({"_all_n": F.sum("_n").over(w), "_all_w": F.sum("_w").over(w), "_salts": salts}))
+    n = parallelism(x.sparkSession)
+    left = k.withColumn("_salt", F.pmod(F.xxhash64(value), F.col("_salts")).cast("int")).select(query, "_salt", value).repartition(n, query, "_salt")
+    right = k.filter("_n > 0").select(query, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.col(value).alias("_other"), F.col("_w")).repartition(n, query, "_salt")
+    j = left.join(right, [query, "_salt"]).filter(F.col(value) != F.col("_other")).withColumn("_ratio", ratio(F.col(value), F.col("_other")))
+    a = j.groupBy(query, value).agg(F.max("_ratio").alias("_best"), F.sum(F.col("_ratio") * F.col("_w")).alias("_sum"))
+    return k.drop("_salts").join(a, [query, value], "left")
+
+
+def siblings(pairs: DataFrame, records: DataFrame, query: str, record: str, p: str, least: float = 0.5, block: int = 256) -> DataFrame:
+    """(query, record, sib_n, sib_pmass, and agreement with ALL the query's OTHER candidates of p >= least).
 
     records has record, core and nums (array). Name agreement is the edit ratio of cores, number agreement the shared share
     of number sets: maximum, p-weighted mean and share of equal sets; null without siblings or where a side is empty.
-    sib_n and sib_pmass count all siblings, from sums per query. Agreement is taken over the `best` ones (by p, then
-    record), so that a query with very many candidates costs a row a candidate and sibling taken, not a row a pair.
+    Siblings are grouped by their distinct core and number set, so a query costs a row a pair of distinct values, not of
+    candidates; a candidate's own part is taken out of its value's count and weight.
     """
     from recordweave.functions.strings import edit_ratio, set_jaccard
 
-    info = records.select(F.col(record), "core", "nums")
+    info = records.select(record, F.col("core").alias("_core"), F.array_sort(F.array_distinct("nums")).alias("_nums"))
     w = Window.partitionBy(query)
-    is_sib = F.col(p) >= least
-    x = pairs.select(query, record, p).withColumns({"_all": F.sum(is_sib.cast("long")).over(w), "_mass": F.sum(F.when(is_sib, F.col(p)).otherwise(0.0)).over(w), "_rank": F.row_number().over(w.orderBy(F.col(p).desc(), record))})
-    own = is_sib.cast("long")
-    d = x.join(info, record)
-    s = x.filter(is_sib & (F.col("_rank") <= best + 1)).select(query, F.col(record).alias("_r"), F.col(p).alias("_p"), F.col("_rank").alias("_k"))
-    s = s.join(info.select(F.col(record).alias("_r"), F.col("core").alias("_core"), F.col("nums").alias("_nums")), "_r")
-    j = d.join(s, query).filter((F.col(record) != F.col("_r")) & ((F.col("_k") <= best) | (F.col("_rank") <= best)))
-    name = F.when((F.col("core") != "") & (F.col("_core") != ""), edit_ratio(F.col("core"), F.col("_core")))
-    nums = set_jaccard(F.col("nums"), F.col("_nums"))
-    same = F.when((F.size("nums") > 0) & (F.size("_nums") > 0), (F.array_sort("nums") == F.array_sort("_nums")).cast("double"))
-    j = j.withColumns({"_name": name, "_nj": nums, "_eq": same})
-    mean = lambda c: F.sum(F.col(c) * F.col("_p")) / F.sum(F.when(F.col(c).isNotNull(), F.col("_p")))
-    a = j.groupBy(query, record).agg(F.max("_name").alias("sib_name_max"), mean("_name").alias("sib_name_wmean"), F.max("_nj").alias("sib_num_max"), mean("_nj").alias("sib_num_wmean"), F.avg("_eq").alias("sib_num_eq_frac"))
-    n = F.col("_all") - own
-    counts = x.select(query, record, n.alias("sib_n"), F.when(n > 0, F.col("_mass") - F.when(is_sib, F.col(p)).otherwise(0.0)).alias("sib_pmass"))
-    return counts.join(a, [query, record], "left")
+    x = cut(pairs.select(query, record, p).join(info, record, "left").withColumn("_sib", F.col(p) >= least))
+    mass = F.when(F.col("_sib"), F.col(p)).otherwise(0.0)
+    n = F.sum(F.col("_sib").cast("long")).over(w) - F.col("_sib").cast("long")
+    out = x.withColumns({"sib_n": n, "sib_pmass": F.when(n > 0, F.sum(mass).over(w) - mass)})
+    for value, there, ratio, name in (("_core", F.col("_core") != "", edit_ratio, "name"), ("_nums", F.size("_nums") > 0, set_jaccard, "num")):
+        out = out.join(_value_agreement(x, query, value, p, there, ratio, block), [query, value], "left")
+        own = F.col("_sib").cast("long")
+        same, others = F.col("_n") - own, F.col("_all_n") - own
+        same_w = F.when(same > 0, F.col("_w") - mass).otherwise(0.0)
+        out = out.withColumns({
+            f"sib_{name}_max": F.when(same > 0, F.lit(1.0)).otherwise(F.col("_best")), f"sib_{name}_wmean": F.when(others > 0, (F.coalesce("_sum", F.lit(0.0)) + same_w) / (F.col("_all_w") - mass)), f"sib_{name}_eq_frac": F.when(others > 0, same / others),
+        }).drop("_n", "_w", "_all_n", "_all_w", "_best", "_sum")
+    return out.select(query, record, "sib_n", "sib_pmass", "sib_name_max", "sib_name_wmean", "sib_num_max", "sib_num_wmean", "sib_num_eq_frac")

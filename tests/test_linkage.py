@@ -142,3 +142,30 @@ def test_sibling_counts(spark):
     got = {x.r: x for x in C.siblings(pairs, rec, "q", "r", "p").collect()}
     assert got["r0"].sib_n == 29 and got["low"].sib_n == 30 and got["r0"].sib_name_max == 1 and got["low"].sib_name_max is None
     assert got["r0"].sib_num_eq_frac == pytest.approx(1)
+
+
+def test_sibling_agreement_takes_every_sibling(spark):
+    r = random.Random(4)
+    rec = {f"r{i}": (r.choice(["", *(f"core {r.choice('abc')}{k}" for k in range(9))]), r.sample(["1", "2", "3"], r.randint(0, 3))) for i in range(70)}
+    rec["r65"] = rec["far"] = ("nothing like it", ["77"])
+    prob = {f"r{i}": round(0.98 - i / 150, 4) for i in range(70)} | {"far": 0.2}
+    pairs = spark.createDataFrame([("q", k, v) for k, v in prob.items()], "q string, r string, p double")
+    got = {x.r: x for x in C.siblings(pairs, spark.createDataFrame([(k, *v) for k, v in rec.items()], "r string, core string, nums array<string>"), "q", "r", "p", block=4).collect()}
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, up = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(up[j] + 1, row[-1] + 1, up[j - 1] + (x != y)))
+        return row[-1]
+
+    assert got["far"].sib_name_max == 1 and got["far"].sib_num_max == 1  # r65 is the 66th best
+    for k, (core, nums) in rec.items():
+        sibs = [(prob[o], *rec[o]) for o in rec if o != k and prob[o] >= 0.5]
+        names = [(p, 1 - lev(core, c) / max(len(core), len(c))) for p, c, _ in sibs if core and c]
+        sets = [(p, len({*nums} & {*m}) / len({*nums} | {*m}), {*nums} == {*m}) for p, _, m in sibs if nums and m]
+        mean = lambda v: sum(x[0] * x[1] for x in v) / sum(x[0] for x in v) if v else None
+        want = [max((x[1] for x in names), default=None), mean(names), max((x[1] for x in sets), default=None), mean(sets), sum(x[2] for x in sets) / len(sets) if sets else None]
+        assert [got[k].sib_name_max, got[k].sib_name_wmean, got[k].sib_num_max, got[k].sib_num_wmean, got[k].sib_num_eq_frac] == pytest.approx(want)
+        assert got[k].sib_n == len(sibs)
