@@ -170,17 +170,16 @@ def number_features(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "longest_eq double, longest_in double, best_ratio double, min_reldiff double, prefix double")(a, b)
 
 
-def coverage(a: Column, b: Column, weights: dict[str, float], unknown: float) -> Column:
+def coverage(a: Column, b: Column, wa: Column, wb: Column) -> Column:
     """Struct of how far each name's tokens are covered by the other's, exactly or with a ratio of 0.8; null where one is empty.
 
-    weights: token weights of the fitted vocabulary (bounded by the caller); unknown tokens get `unknown`.
+    wa and wb: arrays of the weights of the tokens of a and b, in their order.
     """
 
-    def side(mine: list[str], other: list[str]) -> list[float]:
+    def side(mine: list[str], weights: list[float], other: list[str]) -> list[float]:
         total = cov = worst = 0.0
         missed = 0
-        for t in mine:
-            w = weights.get(t, unknown)
+        for t, w in zip(mine, weights, strict=True):
             total += w
             if t in other or any(indel_ratio(t, o) >= 0.8 for o in other):
                 cov += w
@@ -188,11 +187,11 @@ def coverage(a: Column, b: Column, weights: dict[str, float], unknown: float) ->
                 missed, worst = missed + 1, max(worst, w)
         return [cov / total if total else None, worst, float(missed)]
 
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    def run(x: pd.Series, y: pd.Series, u: pd.Series, v: pd.Series) -> pd.DataFrame:
         rows = []
-        for p, q in zip(x, y, strict=True):
+        for p, q, g, h in zip(x, y, u, v, strict=True):
             p, q = (p or "").split(), (q or "").split()
-            rows.append([*side(p, q), *side(q, p)] if p and q else [None] * 6)
+            rows.append([*side(p, g, q), *side(q, h, p)] if p and q else [None] * 6)
         return pd.DataFrame(rows, columns=["a_cov", "a_miss", "a_n_miss", "b_cov", "b_miss", "b_n_miss"], dtype=float)
 
-    return F.pandas_udf(run, "a_cov double, a_miss double, a_n_miss double, b_cov double, b_miss double, b_n_miss double")(a, b)
+    return F.pandas_udf(run, "a_cov double, a_miss double, a_n_miss double, b_cov double, b_miss double, b_n_miss double")(a, b, wa, wb)

@@ -79,9 +79,19 @@ def feat_lengths(spark, d):
     return p.select(*KEY, F.abs(F.length("l_core") - F.length("r_core")).alias("len_diff"), F.round(S.length_ratio(L("core"), R("core")), 6).alias("len_ratio"), F.size(X.tokens(L("addr"))).alias("ntok_l"), F.size(X.tokens(R("addr"))).alias("ntok_r"))
 
 
+def _word_counts(rec):
+    """((src, id, term, tf), the vocabulary) of core words: every word, as the pairs are given and no postings meet."""
+    c = tfidf.term_counts(rec.withColumn("k", F.concat_ws("/", "src", "id")), "k", tfidf.word_terms(F.col("core")))
+    return c, tfidf.vocabulary(c, rec.count(), 1, 1.0)
+
+
+_SIDE = [F.substring("k", 1, 1).cast("int").alias("src"), F.expr("substring(k, 3)").alias("id")]
+
+
 def _weighted(spark, d):
     rec = cut(base.records(spark, d, "test"))
-    w = cut(B.postings(rec, B.passes()["nm"]))
+    c, v = _word_counts(rec)
+    w = cut(tfidf.weights(c, v, "k").select(*_SIDE, "term", "w"))
     return rec, w, B.rarest_token(rec, 20)
 
 
@@ -95,12 +105,11 @@ def feat_tfidf_cosine(spark, d):
 
 
 def feat_weighted_jaccard(spark, d):
-    """Sum of idf of shared core words over that of all, words of the vocabulary only; null for 0 over 0."""
-    rec, _, p = _weighted(spark, d)
-    spec = B.passes()["nm"]
-    c = tfidf.term_counts(rec.withColumn("k", F.concat_ws("/", "src", "id")), "k", tfidf.word_terms(spec.text))
-    v = tfidf.vocabulary(c, rec.count(), 2, spec.max_df).select("term", "idf")
-    t = c.join(v, "term").select(F.substring("k", 1, 1).cast("int").alias("src"), F.expr("substring(k, 3)").alias("id"), "term", "idf")
+    """Sum of idf of shared core words over that of all; null for 0 over 0."""
+    rec = cut(base.records(spark, d, "test"))
+    p = B.rarest_token(rec, 20)
+    c, v = _word_counts(rec)
+    t = c.join(v.select("term", "idf"), "term").select(*_SIDE, "term", "idf")
     a = p.join(t.filter("src = 1").select(F.col("id").alias("s1"), "term", "idf"), "s1").select(*KEY, "term", "idf", F.lit(1).alias("l"), F.lit(0).alias("g"))
     b = p.join(t.filter("src != 1").withColumnRenamed("id", "r"), ["src", "r"]).select(*KEY, "term", "idf", F.lit(0).alias("l"), F.lit(1).alias("g"))
     u = a.unionByName(b).groupBy(*KEY, "term").agg(F.max("idf").alias("idf"), (F.max("l") * F.max("g")).alias("both"))
@@ -110,12 +119,12 @@ def feat_weighted_jaccard(spark, d):
 
 def feat_coverage(spark, d):
     """How far each core's idf is covered by the other side, exactly or nearly (Python, so without SQL)."""
-    rec, _, p = _weighted(spark, d)
-    spec = B.passes()["nm"]
-    c = tfidf.term_counts(rec.withColumn("k", F.concat_ws("/", "src", "id")), "k", tfidf.word_terms(spec.text))
-    v = tfidf.vocabulary(c, rec.count(), 2, spec.max_df).orderBy(F.col("df").desc(), "term").limit(50_000).collect()
-    x = pairs(spark, d)
-    return x.withColumn("c", S.coverage(L("core"), R("core"), {r.term: r.idf for r in v}, max([1.0, *(r.idf for r in v)]))).select(*KEY, "c.*")
+    c, v = _word_counts(cut(base.records(spark, d, "test")))
+    t = c.join(v.select("term", "idf"), "term").groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("m")).select(*_SIDE, "m")
+    left, right = t.filter("src = 1").select(F.col("id").alias("s1"), F.col("m").alias("l_m")), t.filter("src != 1").select("src", F.col("id").alias("r"), F.col("m").alias("r_m"))
+    x = pairs(spark, d).join(left, "s1", "left").join(right, ["src", "r"], "left")
+    idf = lambda core, m: F.transform(X.tokens(core), lambda w: m[w])
+    return x.withColumn("c", S.coverage(L("core"), R("core"), idf(L("core"), L("m")), idf(R("core"), R("m")))).select(*KEY, "c.*")
 
 
 def feat_base_score(spark, d):

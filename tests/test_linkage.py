@@ -169,3 +169,22 @@ def test_sibling_agreement_takes_every_sibling(spark):
         want = [max((x[1] for x in names), default=None), mean(names), max((x[1] for x in sets), default=None), mean(sets), sum(x[2] for x in sets) / len(sets) if sets else None]
         assert [got[k].sib_name_max, got[k].sib_name_wmean, got[k].sib_num_max, got[k].sib_num_wmean, got[k].sib_num_eq_frac] == pytest.approx(want)
         assert got[k].sib_n == len(sibs)
+
+
+def test_word_features_know_every_word(spark, monkeypatch):
+    from recordweave.plans import features as W
+
+    cores = [(1, "a", "smith sons"), (2, "b", "smiht sons"), (2, "c", "smith sons"), *((3, f"x{i}", "sons trading") for i in range(20))]
+    rec = spark.createDataFrame([(*x, *[""] * 5) for x in cores], "src int, id string, core string, name string, addr string, postal string, phon string, country string")
+    given = spark.createDataFrame([("a", 2, "b"), ("a", 2, "c")], "s1 string, src int, r string")
+    monkeypatch.setattr(W.base, "records", lambda *_: rec)
+    monkeypatch.setattr(W.B, "rarest_token", lambda *_: given)
+    idf = lambda df: math.log(24 / (1 + df)) + 1
+    sons, smith, smiht = idf(23), idf(2), idf(1)
+    cos = {x.r: x.name_word_tfidf for x in W.feat_tfidf_cosine(spark, "").collect()}
+    assert cos["c"] == 1 and cos["b"] == pytest.approx(sons**2 / math.hypot(sons, smith) / math.hypot(sons, smiht), abs=1e-6)
+    assert {x.r: x.name_wjacc for x in W.feat_weighted_jaccard(spark, "").collect()} == pytest.approx({"b": sons / (sons + smith + smiht), "c": 1}, abs=1e-6)
+    cov = {x.r: x for x in W.feat_coverage(spark, "").collect()}
+    assert cov["c"].a_cov == 1 and cov["b"].a_cov == pytest.approx(1 if cov["b"].a_n_miss == 0 else sons / (sons + smith)) and cov["b"].b_miss == pytest.approx(0 if cov["b"].b_n_miss == 0 else smiht)
+    plain = spark.createDataFrame([("sons alpha", "sons omega", [1.0, 3.0], [1.0, 5.0])], "a string, b string, u array<double>, v array<double>").select(W.S.coverage(F.col("a"), F.col("b"), F.col("u"), F.col("v")).alias("c")).select("c.*").first()
+    assert tuple(plain) == (0.25, 3.0, 1.0, pytest.approx(1 / 6), 5.0, 1.0)
