@@ -171,6 +171,13 @@ def test_sibling_agreement_takes_every_sibling(spark):
         assert got[k].sib_n == len(sibs)
 
 
+def test_shift_holds_out_every_label(spark):
+    rows = [(f"L{i % 7}", float(i // 7 % 2), (i // 7 % 2) * 0.5 + i % 5 / 10) for i in range(84)] + [("one", 1.0, 0.4)]
+    got = {x.held_out: (x.n, x.auc) for x in M.shift(spark.createDataFrame(rows, "country string, y double, a double"), ["a"], "country", trees=1, depth=1).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {**{f"L{i}": 12 for i in range(7)}, "one": 1}
+    assert got["one"][1] is None and all(got[f"L{i}"][1] > 0.5 for i in range(7))
+
+
 def test_word_features_know_every_word(spark, monkeypatch):
     from recordweave.plans import features as W
 
