@@ -20,6 +20,13 @@ def test_quoted_id_with_delimiter(spark):
     assert lists(spark, ['S2-00000001,"S3-00000002,17"', '"S3-00000002|9"', '["S2-00000001","S3-00000002;7"]', '"S2-00000001,S3-00000002"'], item=ID) == [["S2-00000001", "S3-00000002,17"], ["S3-00000002|9"], ["S2-00000001", "S3-00000002;7"], ["S2-00000001", "S3-00000002"]]
 
 
+def test_doubled_quotes(spark):
+    texts = ['"S2-00426016,""S3-00155791,16"""', '"""S2-00000001"",""S3-00000002,16"""', '"S2-00000001,"', '"S2-00000001""S2-00000002"', '"S2-00000001,S2-00000002,""S3-00000003;4"",S2-00000005"', '"",S2-00000001', '"S2-00000001""S2-00000002']
+    a, b = "S2-00000001", "S2-00000002"
+    assert lists(spark, texts, item=ID) == [["S2-00426016", "S3-00155791,16"], [a, "S3-00000002,16"], [a], [a, b], [a, b, "S3-00000003;4", "S2-00000005"], [a], [a, b]]
+    assert lists(spark, ['"a ""b"" c",d', '"a""', '""""', '"";x']) == [['a "b" c', "d"], ["a"], ['"'], ["x"]]
+
+
 def test_empty_and_placeholders(spark):
     assert lists(spark, [None, "", "  ", "null", "-", '""', "[]", ",", "a,,b", "a, ,b", "a,null,-,b", "None", "n/a"]) == [[], [], [], [], [], [], [], [], ["a", "b"], ["a", "b"], ["a", "b"], [], ["n", "a"]]
 
