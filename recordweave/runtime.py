@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,21 +24,35 @@ def parallelism(spark: SparkSession) -> int:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition by keys when the input has fewer splits than the cluster has cores to give.
 
-    A large input already comes in enough splits and is left as it is, so this costs a shuffle only where the
-    table is small and the work per row is large. Hashing by key keeps a retried task's rows the same.
+    Decided from the size the plan estimates, without running any of it: a large input already comes in enough splits
+    and is left as it is, so this costs a shuffle only where the table is small and the work per row is large. Hashing by
+    key keeps a retried task's rows the same.
     """
     spark = df.sparkSession
-    if df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if size >= 2 * spark.sparkContext.defaultParallelism * split:
         return df
     return df.repartition(parallelism(spark), *keys)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there; survives the loss of executors.
+def identity(*cols: Column | str) -> Column:
+    """128 bits that stand for the columns' values: two hashes, as one of 64 bits would meet by chance among billions."""
+    return F.struct(F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit(7), *cols).alias("g"))
+
+
+def by_key(df: DataFrame) -> DataFrame:
+    """df for a join on keys: it is shuffled and sorted, and never sent whole to the driver and every executor.
 
-    The folder is the session's spark.checkpoint.dir. Only where none is set (tests, local runs) a temporary one is.
+    For postings, pairs and members, whose size grows with the data: an estimate of a shuffled stage's size is far below
+    what its hash table takes, so leaving the choice to the planner means broadcasts that fill the driver.
     """
-    sc = df.sparkSession.sparkContext
+    return df.hint("merge")
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the session's checkpoint folder, a temporary one only for a local master without any."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir")
         if not where:
@@ -45,12 +60,22 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="recordweave-")
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as a table to the shared checkpoint folder and read from there; survives the loss of executors.
+
+    Every stage runs once, and readers fetch only the columns they need. The table is deleted when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def blank_to_null(c):
-    """Null for null, empty and white-space-only strings."""
-    return F.when(F.trim(c) == "", None).otherwise(c)
 
 
 def ship(spark: SparkSession) -> None:
