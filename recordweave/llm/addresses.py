@@ -7,7 +7,7 @@ import re
 from typing import NamedTuple
 
 from recordweave.functions.translit import fold, romanise
-from recordweave.llm.names import near, sound
+from recordweave.llm.names import near, plain, sound
 
 # Word lists in natural order; a street type's first form stands for all.
 STREET_TYPES = [
@@ -33,6 +33,10 @@ class Address(NamedTuple):
     kind: str  # street type or ''
     rest: tuple  # town and region words in the order written, parts separated by None
     postal: str | None
+    unit: str | None = None  # apartment, floor, shop and the like, as written
+    typed: str = ""  # the street with its vowels as typed
+    other: Address | None = None  # another reading: the street's name is one word, the next ones are the town's
+    plain: tuple = ()  # rest with its vowels as typed
 
 
 NOWHERE = Address(None, "", "", (), None)
@@ -79,11 +83,13 @@ def read_address(raw: str | None) -> Address:
     s = re.sub(r"\s-+\s|[,;]|\s-+$|^-+\s", " , ", s)
     words = re.findall(r"[a-z_]+|\d+[a-z]?|[,#]", s.replace("'", "").replace(".", " "))
     out: list[str] = []
+    units: list[str] = []
     i = 0
     while i < len(words):
         w = words[i]
         nxt = words[i + 1] if i + 1 < len(words) else ""
         if w in UNITS and nxt[:1].isdigit():
+            units.append(f"{w} {nxt}")
             out.append(",")
             i += 2
             continue
@@ -115,10 +121,13 @@ def read_address(raw: str | None) -> Address:
             w = "lane"
         out.append(w)
         i += 1
-    return _place(out, number, postal)
+    x = _place(out, number, postal, False)
+    other = _place(out, number, postal, True)
+    return x._replace(unit=" ".join(units) or None, other=other if other.street != x.street else None)
 
 
-def _place(w: list[str], number: str | None, postal: str | None) -> Address:
+def _place(w: list[str], number: str | None, postal: str | None, short: bool) -> Address:
+    """The address of words around the number's place (#); short: a name behind its street type is one word long."""
     at = w.index("#") if "#" in w else -1
     kinds = [(i, k) for i, x in enumerate(w) if x not in ",#" and (k := kind_of(x))]
     # the type beside the number and its words, else the first type that has words beside it
@@ -133,12 +142,13 @@ def _place(w: list[str], number: str | None, postal: str | None) -> Address:
         front, back = [x for x in w[lo:i] if x not in SMALL], [x for x in w[i + 1 : hi] if x not in SMALL]
         french = k in BEFORE_NAME and (not front or w[i + 1 : i + 2] and w[i + 1] in SMALL)
         if french and back:
-            span, name = (i, hi), back[:2] if len(back) > 1 else back
-            if len(back) > 2:  # the third word on is the town
+            most = 1 if short else 2
+            span, name = (i, hi), back[:most]
+            if len(back) > most:  # the words behind them are the town
                 names = 0
                 for hi2 in range(i + 1, hi):
                     names += w[hi2] not in SMALL
-                    if names == 2:
+                    if names == most:
                         span = (i, hi2 + 1)
                         break
         elif front:
@@ -169,10 +179,13 @@ def _place(w: list[str], number: str | None, postal: str | None) -> Address:
             if rest and rest[-1] is not None:
                 rest.append(None)
         elif x not in ("in",):
-            rest.append(sound(x.replace("_", "")) if len(x) > 2 else x)
+            rest.append(x.replace("_", ""))
     while rest and rest[-1] is None:
         rest.pop()
-    return Address(number, "".join(sound(x.replace("_", "")) for x in name), kind, tuple(rest), postal)
+    typed = [x if x is None or len(x) < 3 else plain(x) for x in rest]
+    rest = [x if x is None or len(x) < 3 else sound(x) for x in rest]
+    joined = lambda f: "".join(f(x.replace("_", "")) for x in name)
+    return Address(number, joined(sound), kind, tuple(rest), postal, typed=joined(plain), plain=tuple(typed))
 
 
 def _named(w: list[str], at: int):

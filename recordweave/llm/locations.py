@@ -8,39 +8,61 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordweave.llm.addresses import postal_code, read_address
+from recordweave.llm.addresses import Address, postal_code, read_address
 from recordweave.llm.names import edits, other_word
+from recordweave.llm.pairs import pairs_within
 from recordweave.llm.segments import similar
 from recordweave.operators.components import components
-from recordweave.runtime import cut, spread
+from recordweave.runtime import by_key, cut, identity, spread
 
-PARSED = "address string, number string, street string, kind string, rest string, first string, last string, postal string, grams array<string>"
+PARSED = "address string, reading int, number string, street string, unit string, kind string, rest string, first string, last string, postal string, grams array<string>"
+
+
+def _runs(words: tuple) -> list[list[str]]:
+    parts: list[list[str]] = [[]]
+    for w in words:
+        if w is None:
+            parts.append([])
+        else:
+            parts[-1].append(w)
+    return [p for p in parts if p]
 
 
 def parse(addresses: DataFrame) -> DataFrame:
-    """Parts of distinct addresses. rest holds all words that are not the street's; first and last are its outer parts
-    where it has two or more (town and region of a clean address), grams its runs of up to three words."""
+    """Parts of distinct addresses, in one or two readings. rest holds all words that are not the street's; first and last
+    are its outer parts where it has two or more (town and region of a clean address), grams its runs of up to three words.
+    street and grams are in the spelling of sounds, and also as typed where that differs (street: behind a space)."""
+
+    def row(a: str, n: int, x: Address) -> tuple:
+        parts = _runs(x.rest)
+        grams = {" ".join(p[i : i + n]) for p in [*parts, *_runs(x.plain)] for n in (1, 2, 3) for i in range(len(p) - n + 1)}
+        street = x.street if x.typed == x.street else f"{x.street} {x.typed}"
+        return (a, n, x.number, street or None, x.unit, x.kind, ", ".join(" ".join(p) for p in parts), " ".join(parts[0]) if parts else None, " ".join(parts[-1]) if len(parts) > 1 else None, x.postal, sorted(grams))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for a in b.address:
                 x = read_address(a)
-                parts: list[list[str]] = [[]]
-                for w in x.rest:
-                    if w is None:
-                        parts.append([])
-                    else:
-                        parts[-1].append(w)
-                parts = [p for p in parts if p]
-                grams = {" ".join(p[i : i + n]) for p in parts for n in (1, 2, 3) for i in range(len(p) - n + 1)}
-                rows.append((a, x.number, x.street or None, x.kind, ", ".join(" ".join(p) for p in parts), " ".join(parts[0]) if parts else None, " ".join(parts[-1]) if len(parts) > 1 else None, x.postal, sorted(grams)))
+                rows.append(row(a, 0, x))
+                if x.other:
+                    rows.append(row(a, 1, x.other._replace(unit=x.unit)))
             if rows:
-                yield pd.DataFrame(rows, columns=["address", "number", "street", "kind", "rest", "first", "last", "postal", "grams"])
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
     return addresses.mapInPandas(run, PARSED)
 
 
+def settled(parsed: DataFrame, clean: DataFrame) -> DataFrame:
+    """parsed with one reading of each address: the one whose street stands in clean addresses, else the first."""
+    streets = parsed.filter("reading = 0").join(by_key(clean.select("address").distinct()), "address", "left_semi").select("street").filter("street is not null").distinct()
+    two = parsed.filter("reading = 1").select("address").distinct()
+    known = parsed.join(by_key(two), "address", "left_semi").join(by_key(streets.withColumn("known", F.lit(1))), "street", "left")
+    w = Window.partitionBy("address").orderBy(F.col("known").desc_nulls_last(), "reading")
+    chosen = known.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*parsed.columns)
+    return parsed.join(by_key(two), "address", "left_anti").unionByName(chosen)
+
+
 def gazetteer(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(region, region_id) and (town, region_id) from clean addresses, top down.
 
@@ -53,12 +75,12 @@ def gazetteer(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     y = known.select("first", F.col("last").alias("short")).filter("length(short) = 2")
     letters = F.concat(F.substring("long", 1, 1), F.expr("right(long, 1)"))
     # the spelling shared by sounds may end differently: valley reads vale
-    alike = x.join(y, "first").filter((F.col("short") == letters) | (F.substring("short", 1, 1) == F.substring("long", 1, 1)) & F.col("long").rlike(r" val[ei]$| pradesh$"))
+    alike = x.join(by_key(y), "first").filter((F.col("short") == letters) | (F.substring("short", 1, 1) == F.substring("long", 1, 1)) & F.col("long").rlike(r" val[ei]$| pradesh$"))
     pick = alike.groupBy("short", "long").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("short").orderBy(F.col("n").desc(), "long")
     pick = pick.withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("short").alias("last"), F.col("long").alias("region_id"))
-    regions = known.groupBy("last").agg(F.sum("n").alias("n")).join(pick, "last", "left").select(F.col("last").alias("region"), F.coalesce("region_id", "last").alias("region_id"))
-    towns = both.join(regions.withColumnRenamed("region", "last"), "last", "left").groupBy(F.col("first").alias("town"), "region_id").agg(F.sum("n").alias("n"))
+    regions = known.groupBy("last").agg(F.sum("n").alias("n")).join(by_key(pick), "last", "left").select(F.col("last").alias("region"), F.coalesce("region_id", "last").alias("region_id"))
+    towns = both.join(by_key(regions.withColumnRenamed("region", "last")), "last", "left").groupBy(F.col("first").alias("town"), "region_id").agg(F.sum("n").alias("n"))
     return cut(regions), cut(towns)
 
 
@@ -68,92 +90,121 @@ def place_words(parsed: DataFrame, regions: DataFrame, towns: DataFrame) -> Data
     Words are matched exactly, towns else with one edit (two from nine letters on). Towns outside of a region that the words name are dropped;
     without a region all towns of the name stay. Several candidates are all kept.
     """
-    rests = parsed.filter("rest != ''").groupBy("rest").agg(F.first("grams").alias("grams")).select("rest", F.explode("grams").alias("gram"))
+    rests = parsed.filter("rest != ''").select("rest", F.explode("grams").alias("gram")).distinct()
     rests = cut(rests)
-    r = rests.join(regions, rests["gram"] == regions["region"]).groupBy("rest").agg(F.collect_set("region_id").alias("regions"))
+    r = rests.join(by_key(regions), rests["gram"] == regions["region"]).groupBy("rest").agg(F.collect_set("region_id").alias("regions"))
     names = towns.select("town").distinct()
     k = F.when(F.length("s") >= 9, 2).otherwise(1)
     i = names.select(F.col("town").alias("id"), F.col("town").alias("s"), F.lit(0).alias("bucket"))
     i = i.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
     grams = rests.select("gram").distinct().filter("length(gram) > 3")
-    p = grams.join(names, grams["gram"] == names["town"], "left_anti").select(F.col("gram").alias("id"), F.col("gram").alias("s"), F.lit(0).alias("bucket")).withColumn("k", k)
+    p = grams.join(by_key(names), grams["gram"] == names["town"], "left_anti").select(F.col("gram").alias("id"), F.col("gram").alias("s"), F.lit(0).alias("bucket")).withColumn("k", k)
     near = similar(i, p).select(F.col("a").alias("town"), F.col("b").alias("gram"), "distance").filter("distance > 0 and length(town) > 4")
-    exact = grams.join(names, grams["gram"] == names["town"]).select("town", "gram", F.lit(0).alias("distance"))
-    short = rests.select("gram").distinct().filter("length(gram) <= 3").withColumnRenamed("gram", "town").join(names, "town", "left_semi").select("town", F.col("town").alias("gram"), F.lit(0).alias("distance"))
-    meant = rests.join(exact.unionByName(near).unionByName(short), "gram").groupBy("rest", "town").agg(F.min("distance").alias("distance"))
-    within = meant.join(towns.groupBy("town").agg(F.collect_set("region_id").alias("in")), "town").join(r, "rest", "left")
+    exact = grams.join(by_key(names), grams["gram"] == names["town"]).select("town", "gram", F.lit(0).alias("distance"))
+    short = rests.select("gram").distinct().filter("length(gram) <= 3").withColumnRenamed("gram", "town").join(by_key(names), "town", "left_semi").select("town", F.col("town").alias("gram"), F.lit(0).alias("distance"))
+    meant = rests.join(by_key(exact.unionByName(near).unionByName(short)), "gram").groupBy("rest", "town").agg(F.min("distance").alias("distance"))
+    within = meant.join(by_key(towns.groupBy("town").agg(F.collect_set("region_id").alias("in"))), "town").join(by_key(r), "rest", "left")
     within = within.filter(F.col("regions").isNull() | (F.size("in") == 0) | F.arrays_overlap("in", "regions") | F.array_contains("regions", F.col("town")))
     # a region's name that is also a town's isn't the town where another town is named
     w = Window.partitionBy("rest")
     is_region = F.coalesce(F.array_contains("regions", F.col("town")), F.lit(False))
     within = within.withColumn("score", F.col("distance") + F.when(is_region, 3).otherwise(0)).withColumn("best", F.min("score").over(w)).filter("score = best")
     t = within.groupBy("rest").agg(F.collect_set("town").alias("towns"))
-    return r.join(t, "rest", "full_outer")
+    return r.join(by_key(t), "rest", "full_outer")
 
 
 def _same_street(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edits(x, y, 2) <= (2 if min(len(x), len(y)) > 8 else 1) and not other_word(x, y) for x, y in zip(a, b, strict=True)])
+    one = lambda x, y: edits(x, y, 2) <= (2 if min(len(x), len(y)) > 8 else 1) and not other_word(x, y)
+    return pd.Series([any(one(x, y) for x in xs.split() for y in ys.split()) for xs, ys in zip(a, b, strict=True)])
 
 
-def locate(records: DataFrame, clean: DataFrame) -> DataFrame:
-    """(address, postal, location): records' distinct (address, postal) pairs with the id of their location.
+def _alike(streets: DataFrame, bucket: str) -> DataFrame:
+    """(a, b): ids of streets (id, street and a bucket column) of one bucket that are one street's name, misspelt or not, both ways; not a with itself."""
+    k = F.when(F.length("s") >= 9, 2).otherwise(1)
+    i = streets.select("id", F.explode(F.split("street", " ")).alias("s"), F.col(bucket).alias("bucket"))
+    near = similar(i.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), i.withColumn("k", k)).filter("a != b").select("a", "b")
+    name = lambda x: by_key(streets.select(F.col("id").alias(x), F.col("street").alias(f"s{x}")))
+    near = near.join(name("a"), "a").join(name("b"), "b").filter(F.pandas_udf(_same_street, "boolean")("sa", "sb")).select("a", "b")
+    return cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
 
-    Levels from the top: the region and town words of each address are resolved against those of `clean`; streets are
-    compared within one house number, where towns agree or one is missing; then equal numbers in linked streets are one
-    location. An address without a town inherits the location of its street and number if there is just one, or just
-    one with its postal code; else it stays ambiguous, alone with its like. Addresses without number or street get null.
+
+def locate(records: DataFrame, clean: DataFrame) -> DataFrame:
+    """(address, postal, location, unit): records' distinct (address, postal) pairs with the id of their location.
+
+    Levels from the top: the region words, then the town words of each address are resolved against those of `clean`; streets
+    are compared within one town; equal numbers in linked streets are one location. Links are made between places (town,
+    street, number) and from an address to its places, never between all addresses of a place. An address without a town
+    inherits the places of its street and number in any town: it is of that location if there is just one, or just one with
+    its postal code; else it stays ambiguous, alone with its like. Addresses of which no town is known at all are
+    linked among themselves. Addresses without number or street have no row. unit is the level below, as written; it
+    doesn't part locations.
     """
     own = records.select("address", "postal").filter("trim(address) != ''").distinct()
-    parsed = cut(parse(spread(own.select("address").distinct(), "address")))
-    regions, towns = gazetteer(parsed.join(clean.select("address").distinct(), "address", "left_semi"))
+    parsed = cut(settled(cut(parse(spread(own.select("address").distinct(), "address"))), clean))
+    regions, towns = gazetteer(parsed.join(by_key(clean.select("address").distinct()), "address", "left_semi"))
     placed = place_words(parsed, regions, towns)
-    full = own.withColumn("delivered", F.pandas_udf(lambda s: s.map(postal_code, na_action="ignore").astype(object), "string")("postal")).join(parsed.withColumnRenamed("postal", "written"), "address")
-    full = full.filter("number is not null and street is not null").join(placed, "rest", "left")
-    full = full.select("address", "postal", "number", "street", F.coalesce("towns", F.array().cast("array<string>")).alias("towns"), F.coalesce("written", "delivered").alias("code"))
-    full = cut(full.withColumn("node", F.xxhash64("number", "street", F.array_join(F.array_sort("towns"), "|"), F.when(F.size("towns") == 0, F.coalesce("code", F.lit(""))).otherwise(""))))
-    nodes = full.groupBy("node").agg(F.first("number").alias("number"), F.first("street").alias("street"), F.first("towns").alias("towns"))
-    nodes = cut(nodes)
-    streets = nodes.groupBy("number", "street").agg(F.xxhash64("number", "street").alias("id"))
-    k = F.when(F.length("s") >= 9, 2).otherwise(1)
-    i = streets.select("id", F.col("street").alias("s"), F.col("number").alias("bucket"))
-    close = similar(i.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), i.withColumn("k", k)).filter("a != b").select("a", "b")
-    name = lambda x: streets.select(F.col("id").alias(x), F.col("street").alias(f"s{x}"))
-    close = close.join(name("a"), "a").join(name("b"), "b").filter(F.pandas_udf(_same_street, "boolean")("sa", "sb")).select("a", "b")
-    close = cut(close.unionByName(streets.select(F.col("id").alias("a"), F.col("id").alias("b"))))
-    at = nodes.withColumn("id", F.xxhash64("number", "street"))
-    left = at.select(F.col("id").alias("a"), F.col("node").alias("na"), F.col("towns").alias("ta"))
-    right = at.select(F.col("id").alias("b"), F.col("node").alias("nb"), F.col("towns").alias("tb"))
-    both = cut(close.join(left, "a").join(right, "b").filter("na != nb"))
-    agree = both.filter(F.arrays_overlap("ta", "tb"))
-    first = components(agree.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    base = nodes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("c0"), (F.size("towns") > 0).alias("sure"))
-    base = cut(base)
-    codes = full.filter("code is not null").join(base.filter("sure"), "node").groupBy("c0").agg(F.collect_set(F.substring("code", 1, 5)).alias("codes"))
-    mine = full.filter("code is not null").groupBy("node").agg(F.collect_set(F.substring("code", 1, 5)).alias("mine"))
-    open_ = both.filter((F.size("tb") == 0) & (F.size("ta") > 0)).select(F.col("na").alias("node"), "nb").join(base, "node").select("nb", F.col("c0").alias("ca")).distinct()
-    open_ = open_.join(codes.withColumnRenamed("c0", "ca"), "ca", "left").join(mine.withColumnRenamed("node", "nb"), "nb", "left")
-    w = Window.partitionBy("nb")
-    open_ = open_.withColumn("match", F.coalesce(F.arrays_overlap("codes", "mine"), F.lit(False)).cast("int")).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("m", F.sum("match").over(w))
-    inherit = open_.filter("n = 1 or (m = 1 and match = 1)").select(F.col("ca").alias("a"), F.col("nb").alias("b"))
-    lone = both.filter((F.size("ta") == 0) & (F.size("tb") == 0)).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-
-    unsettled = lone.join(open_.select(F.col("nb").alias("x")).distinct(), lone["a"] == F.col("x"), "left_anti").join(open_.select(F.col("nb").alias("y")).distinct(), lone["b"] == F.col("y"), "left_anti")
-
-    second = components(inherit.unionByName(unsettled))
-    final = base.join(second.withColumnRenamed("node", "c0"), "c0", "left").select("node", F.coalesce("component", "c0").alias("location"))
-    return full.join(final, "node").select("address", "postal", "location")
-
-
-def location_pairs(records: DataFrame, record: str = "entity_id", address: str = "business_address", salts: int = 8, clean: DataFrame | None = None) -> DataFrame:
+    code = F.pandas_udf(lambda s: s.map(postal_code, na_action="ignore").astype(object), "string")
+    full = own.withColumn("delivered", code("postal")).join(by_key(parsed.withColumnRenamed("postal", "written").filter("number is not null and street is not null")), "address")
+    full = full.join(by_key(placed), "rest", "left")
+    full = full.select("address", "postal", "number", "street", "unit", F.array_sort(F.coalesce("towns", F.array().cast("array<string>"))).alias("towns"), F.substring(F.coalesce("written", "delivered"), 1, 5).alias("code"))
+    same = identity("number", "street", F.array_join("towns", "|"), F.when(F.size("towns") == 0, F.coalesce("code", F.lit(""))).otherwise(""))
+    full = cut(full.withColumn("node", same))
+    nodes = cut(full.groupBy("node").agg(*[F.first(c).alias(c) for c in ("number", "street", "towns")]))
+    # towns, then the streets in them, then the numbers in these
+    at = cut(nodes.select("node", "number", "street", F.explode("towns").alias("town")).withColumn("street_id", identity("town", "street")).withColumn("place", identity("town", "street", "number")))
+    streets = _alike(at.select(F.col("street_id").alias("id"), "town", "street").distinct(), "town")
+    places = at.select("street_id", "number", "place").distinct()
+    there = lambda x, y: by_key(places.select(F.col("street_id").alias(x), "number", F.col("place").alias(y)))
+    linked = streets.filter("a < b").join(there("a", "pa"), "a").join(there("b", "pb"), ["b", "number"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    first = components(linked.unionByName(at.select(F.col("place").alias("a"), F.col("node").alias("b"))))
+    sure = at.select("node", "number", "street").distinct().join(by_key(first), "node").withColumnRenamed("component", "c0")
+    sure = cut(sure.withColumn("id", identity("number", "street")))
+    # without a town: the same street and number in all towns
+    open_ = cut(nodes.filter(F.size("towns") == 0).select("node", "number", "street").withColumn("id", identity("number", "street")))
+    spelt = sure.select("id", "number", "street").unionByName(open_.select("id", "number", "street")).distinct()
+    wide = _alike(spelt, "number")
+    wide = cut(wide.unionByName(spelt.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    codes = full.filter("code is not null").select("node", "code").distinct()
+    reach = open_.select("node", F.col("id").alias("a")).join(by_key(wide), "a").select("node", "b")
+    located = sure.select(F.col("id").alias("b"), "c0").distinct()
+    few = located.groupBy("b").agg(F.min("c0").alias("lo"), F.max("c0").alias("hi"))
+    able = reach.join(by_key(few), "b").groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    able = cut(able)
+    by_code = sure.select("node", F.col("id").alias("b"), "c0").join(by_key(codes), "node").select("b", "code", "c0").distinct()
+    coded = reach.join(by_key(able.filter("lo != hi").select("node")), "node", "left_semi").join(by_key(codes), "node").join(by_key(by_code), ["b", "code"])
+    coded = coded.groupBy("node").agg(F.min("c0").alias("lo"), F.max("c0").alias("hi"))
+    inherit = able.unionByName(coded).filter("lo = hi").select("node", F.col("lo").alias("c0"))
+    # no town is known for the street and number: linked among themselves
+    lost = open_.join(by_key(able.select("node")), "node", "left_anti")
+    known = lost.select("id").distinct()
+    near = wide.filter("a < b").join(by_key(known.withColumnRenamed("id", "a")), "a", "left_semi").join(by_key(known.withColumnRenamed("id", "b")), "b", "left_semi")
+    among = components(near.unionByName(lost.select(F.col("id").alias("a"), F.col("node").alias("b")))).withColumnRenamed("component", "c0")
+    among = lost.select("node").join(by_key(among), "node")
+    final = sure.select("node", "c0").unionByName(inherit).unionByName(among.select("node", "c0"))
+    out = full.join(by_key(final), "node", "left")
+    return out.select("address", "postal", F.coalesce("c0", "node").alias("location"), "unit")
+
+
+def members(records: DataFrame, record: str = "entity_id", address: str = "business_address", clean: DataFrame | None = None) -> DataFrame:
+    """(id, location) of every record with a readable address. clean: the records whose addresses are written in order, else those of records."""
+    r = records.select(F.col(record).alias("id"), F.col(address).alias("address"), "postal").filter("id is not null and trim(address) != ''").distinct()
+    c = (records if clean is None else clean).select(F.col(address).alias("address")).filter("trim(address) != ''")
+    found = locate(r, c).withColumnRenamed("address", "_a").withColumnRenamed("postal", "_p")
+    return cut(r.join(by_key(found), (r["address"] == found["_a"]) & r["postal"].eqNullSafe(found["_p"])).select("id", "location").distinct())
+
+
+def location_classes(records: DataFrame, record: str = "entity_id", address: str = "business_address", clean: DataFrame | None = None) -> DataFrame:
+    """(entity_id, location, n_links): per record its location, named by the smallest id there, and how many other records are there."""
+    m = members(records, record, address, clean)
+    per = m.groupBy("location").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    return m.join(by_key(per), "location").select(F.col("id").alias("entity_id"), F.col("first").alias("location"), (F.col("n") - 1).alias("n_links"))
+
+
+def location_pairs(records: DataFrame, record: str = "entity_id", address: str = "business_address", clean: DataFrame | None = None) -> DataFrame:
     """(entity_id_a, entity_id_b): records at one location, a < b. See locate.
 
-    Null and blank addresses take no part; a record given twice counts once. clean: the records whose addresses are
-    written in order, else those of records. Pairs are made on salted keys, so that a crowded location is spread over tasks.
+    Null and blank addresses take no part; a record given twice counts once. Pairs are made on salted keys, so that a
+    crowded location is spread over tasks.
     """
-    r = records.select(F.col(record).alias("id"), F.col(address).alias("address"), "postal").filter("id is not null and trim(address) != ''").distinct()
-    c = (records if clean is None else clean).select(F.col(address).alias("address")).filter("trim(address) != ''")
-    found = locate(r, c)
-    m = cut(r.join(found, (r["address"] == found["address"]) & r["postal"].eqNullSafe(found["postal"])).select("id", "location").distinct())
-    a = m.select(F.col("id").alias("entity_id_a"), "location", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    b = m.select(F.col("id").alias("entity_id_b"), "location", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return a.join(b, ["location", "salt"]).filter("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()
+    p = pairs_within(members(records, record, address, clean), "location", "id")
+    return p.select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b")).distinct()

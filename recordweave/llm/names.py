@@ -46,13 +46,24 @@ TRADING_AS = re.compile(r"\b(?:d\s*/\s*b\s*/\s*a|dba|a\s*/\s*k\s*/\s*a|aka|t\s*/
 FORMERLY = re.compile(r"\b(?:f\s*/\s*k\s*/\s*a|fka|formerly(?:\s+known\s+as)?|n[eé]e?)\b", re.I)
 DOMAIN = re.compile(r"^\W*(?:https?://)?(?:www\.)?([a-z0-9-]+)\.(?:example|com|net|org|in|co\.in|fr|biz|info|us|io|co)\b", re.I)
 LEET = str.maketrans("0134578", "oleastb")
-SOUNDS = [(re.compile(a), b) for a, b in (("ph", "f"), ("[ck]h?|q|ck", "k"), ("w", "v"), ("z", "j"), ("([bdgtj])h", r"\1"), ("aa", "a"), ("ee|ii|y", "i"), ("oo|ou", "u"), ("au|oa", "o"), ("ai|ei", "e"), (r"(.)\1+", r"\1"))]
+_steps = lambda *pairs: [(re.compile(a), b) for a, b in pairs]
+CONSONANTS = _steps(("ph", "f"), ("[ck]h?|q|ck", "k"), ("w", "v"), ("z", "j"), ("([bdgtj])h", r"\1"), ("y", "i"), (r"([^aeiou])\1+", r"\1"))
+VOWELS = _steps(("aa", "a"), ("ee|ii", "i"), ("oo|ou", "u"), ("au|oa", "o"), ("ai|ei", "e"), (r"(.)\1+", r"\1"))
+
+
+@functools.lru_cache(100_000)
+def plain(word: str) -> str:
+    """The word with one letter for consonants that sound alike; its vowels stay as typed, as a lost consonant leaves two that are no long one."""
+    for pattern, by in CONSONANTS:
+        word = pattern.sub(by, word)
+    return word
 
 
 @functools.lru_cache(100_000)
 def sound(word: str) -> str:
     """The word in one of the spellings that the same sounds have in Roman letters."""
-    for pattern, by in SOUNDS:
+    word = plain(word)
+    for pattern, by in VOWELS:
         word = pattern.sub(by, word)
     return word
 
@@ -103,6 +114,12 @@ def parts(raw: str) -> str:
 
 
 def proper(raw: str | None) -> tuple[list[str], list[str]]:
+    """(proper words in shared spelling, given names) of a business name. See proper_words."""
+    words, given = proper_words(raw)
+    return [sound(w) if len(w) > 1 else w for w in words], given
+
+
+def proper_words(raw: str | None) -> tuple[list[str], list[str]]:
     """(proper words, given names) of a business name, both in the order written; initials are proper words of one letter.
 
     Null and empty names give two empty lists. A name of generic words only keeps them.
@@ -139,7 +156,7 @@ def proper(raw: str | None) -> tuple[list[str], list[str]]:
         left = keep + [w for w in long_or if len(w) > 1] + [w for w in behind if w not in "pslc"]
     elif not long:
         left = [] if given else words
-    return [sound(w) if len(w) > 1 else w for w in left], given
+    return left, given
 
 
 def edits(a: str, b: str, most: int = 3) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordweave.runtime import cut
+from recordweave.runtime import by_key, cut
 
 HOT = 3000
 
@@ -54,17 +54,20 @@ def _candidates(index: DataFrame, probe: DataFrame, both_ways: bool, depth: int,
     i, p = _index(index), _probe(probe, both_ways)
     one = lambda x, side: x.select(F.col("id").alias(f"{side}id"), F.col("whole").alias(f"{side}s"), F.col("k").alias(f"{side}k"), "key")
     # pairs whose strings need not be compared again are left out by the caller
-    if depth == 0:
-        return one(i, "i").join(one(p, "p"), "key")
-    crowded = cut(i.groupBy("key").count().filter(F.col("count") > hot).select("key"))
+    crowded = cut(i.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot))
     if crowded.isEmpty():
-        return one(i, "i").join(one(p, "p"), "key")
-    cold = one(i.join(crowded, "key", "left_anti"), "i").join(one(p.join(crowded, "key", "left_anti"), "p"), "key")
+        return one(i, "i").join(by_key(one(p, "p")), "key")
+    cold = one(i.join(by_key(crowded), "key", "left_anti"), "i").join(by_key(one(p.join(by_key(crowded), "key", "left_anti"), "p")), "key")
+    if depth == 0:  # the last level: a crowded segment's rows are split over salts, and what asks for it goes to each
+        salts = F.ceil(F.col("n") / hot).cast("int")
+        left = one(i.join(by_key(crowded), "key").withColumn("key", F.struct("key", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))), "i")
+        right = one(p.join(by_key(crowded), "key").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("key", F.struct("key", "salt")), "p")
+        return cold.unionByName(left.join(by_key(right), "key").withColumn("key", F.col("key.key")))
     # a segment that very many strings share says little: what stands beside it must be similar, too
-    again = lambda x: x.join(crowded, "key", "left_semi").select("id", "whole", F.col("left").alias("s"), "k", F.col("key").alias("bucket"))
+    again = lambda x: x.join(by_key(crowded), "key", "left_semi").select("id", "whole", F.col("left").alias("s"), "k", F.col("key").alias("bucket"))
     short = lambda x: x.filter(F.length("s") <= F.col("k"))
     beside = _candidates(again(i), again(p), True, depth - 1, hot)
-    rest = one(short(again(i)).withColumn("key", F.col("bucket")), "i").join(one(again(p).filter(F.length("s") <= 2 * F.col("k")).withColumn("key", F.col("bucket")), "p"), "key")
+    rest = one(short(again(i)).withColumn("key", F.col("bucket")), "i").join(by_key(one(again(p).filter(F.length("s") <= 2 * F.col("k")).withColumn("key", F.col("bucket")), "p")), "key")
     return cold.unionByName(beside).unionByName(rest)
 
 
@@ -76,7 +79,7 @@ def similar(index: DataFrame, probe: DataFrame | None = None, hot: int = HOT, de
     leave one of them whole, so it stands in the other string, shifted by at most k. Segments are looked up in the
     inverted index by hash, and pairs verified by edit distance in a band of width k. Strings of at most k letters match
     equal ones only. A segment that more than `hot` strings have is not compared pair by pair: the parts beside it are
-    joined in the same way, down to `depth` levels. Null strings match nothing.
+    joined in the same way, down to `depth` levels; on the last one it is split over salts. All joins are by key: nothing is broadcast. Null strings match nothing.
     """
     self_join = probe is None
     i = index.select("id", "s", "bucket", F.col("k").cast("int").alias("k"), F.col("s").alias("whole")).filter("s is not null")
@@ -89,7 +92,7 @@ def similar(index: DataFrame, probe: DataFrame | None = None, hot: int = HOT, de
         differ &= (F.length("is") < F.length("ps")) | (F.length("is") == F.length("ps")) & (F.col("iid") < F.col("pid"))
     far = F.expr("levenshtein(`is`, ps, ik)")
     found = c.filter(differ).withColumn("distance", far).filter("distance >= 0")
-    short = i.filter(F.length("s") <= F.col("k")).select(F.col("id").alias("iid"), "bucket", "s").join(p.select(F.col("id").alias("pid"), "bucket", "s"), ["bucket", "s"]).filter("iid < pid" if self_join else "iid != pid").select("iid", "pid", F.lit(0).alias("distance"))
+    short = i.filter(F.length("s") <= F.col("k")).select(F.col("id").alias("iid"), "bucket", "s").join(by_key(p.select(F.col("id").alias("pid"), "bucket", "s")), ["bucket", "s"]).filter("iid < pid" if self_join else "iid != pid").select("iid", "pid", F.lit(0).alias("distance"))
     both = found.select("iid", "pid", "distance").unionByName(short)
     if self_join:
         both = both.select(F.least("iid", "pid").alias("iid"), F.greatest("iid", "pid").alias("pid"), "distance")

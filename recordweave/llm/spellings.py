@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordweave.llm.names import GIVEN, SHORT, TRADE, near, proper, same_words
+from recordweave.llm.names import GIVEN, SHORT, TRADE, near, plain, proper_words, same_words, sound
+from recordweave.llm.pairs import pairs_within
 from recordweave.llm.segments import similar
 from recordweave.operators.components import components
-from recordweave.runtime import cut, spread
+from recordweave.runtime import by_key, cut, identity, spread
 
 START = re.compile(r"[^aeiou]*[aeiou][^aeiou]*[aeiou]")
 FORMS = "array<struct<role:string,kind:string,s:string,k:int>>"
@@ -71,77 +72,101 @@ def forms(words: list[str]) -> list[tuple[str, str, str, int]]:
     return out
 
 
+def read(name: str) -> tuple[list[str], list[str], list[str]]:
+    """(words, the same with their vowels as typed, full given names) of a name."""
+    raw, given = proper_words(name)
+    both = [(sound(w), plain(w)) if len(w) > 1 else (w, w) for w in raw]
+    for w, v in both:  # a misspelt given name beside two other words
+        if len(both) > 2 and len(w) > 5 and not given and (g := next((x for x in GIVEN if len(x) > 5 and near(w, x)), None)):
+            given, both = [g], [x for x in both if x != (w, v)]
+            break
+    words = tidy([w for w, _ in both])
+    whom = sorted(set().union(*(GIVEN[g] for g in given))) if given else []
+    return words, [v for w, v in both if w in words], whom
+
+
 def parse(names: DataFrame) -> DataFrame:
-    """(name, node, words, given, forms) of distinct names; node is the same for equal proper words and given names."""
+    """(name, node, words, typed, given, forms) of distinct names; node is the same for equal proper words and given names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for n in b.name:
-                words, given = proper(n)
-                for w in words:  # a misspelt given name beside two other words
-                    if len(words) > 2 and len(w) > 5 and not given and (g := next((x for x in GIVEN if len(x) > 5 and near(w, x)), None)):
-                        given, words = [g], [x for x in words if x != w]
-                        break
-                words = tidy(words)
-                whom = sorted(set().union(*(GIVEN[g] for g in given))) if given else []
-                rows.append((n, " ".join(words) + "|" + " ".join(whom), words, whom, forms(words)))
+                words, typed, whom = read(n)
+                f = forms(words) if typed == words else sorted({*forms(words), *forms(typed)})
+                rows.append((n, "|".join(" ".join(x) for x in (words, typed, whom)), words, typed, whom, f))
             if rows:
-                yield pd.DataFrame(rows, columns=["name", "key", "words", "given", "forms"])
+                yield pd.DataFrame(rows, columns=["name", "key", "words", "typed", "given", "forms"])
+
+    p = names.mapInPandas(run, f"name string, key string, words array<string>, typed array<string>, given array<string>, forms {FORMS}")
+    return p.withColumn("node", identity("key"))
 
-    p = names.mapInPandas(run, f"name string, key string, words array<string>, given array<string>, forms {FORMS}")
-    return p.withColumn("node", F.xxhash64("key"))
 
+def _agree(kind: pd.Series, a: pd.Series, b: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.Series:
+    def same(x, y, tx, ty) -> bool:
+        x, y, tx, ty = list(x), list(y), list(tx), list(ty)
+        return any(same_words(p, q) for p in ([x] if x == tx else [x, tx]) for q in ([y] if y == ty else [y, ty]))
 
-def _agree(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([k not in "FC" or same_words(list(x), list(y)) for k, x, y in zip(kind, a, b, strict=True)])
+    return pd.Series([k not in "FC" or same(*v) for k, *v in zip(kind, a, b, ta, tb, strict=True)])
 
 
 def classes(names: DataFrame) -> DataFrame:
     """(name, class): names of one class are spellings of one organisation's name. names has distinct strings in `name`.
 
-    Null, blank and unreadable names form a class each by themselves. Names with the same proper words share a node; nodes
+    Null, blank and unreadable names form a class each by themselves. Names with the same proper words share a node. A word
+    stands for itself in two spellings, that of its sounds and that with the vowels as typed. Nodes
     are linked by the segment join over their full words, in both orders; then nodes with a shortened first word, an
     initial, or one run-together word are attached to the linked names that they fit best. If several organisations fit
     equally well, and none has two thirds of their names, the name stays apart.
     """
     parsed = cut(parse(spread(names.select("name").filter("trim(name) != ''").distinct(), "name")))
-    nodes = parsed.groupBy("node").agg(F.first("words").alias("words"), F.first("given").alias("given"), F.first("forms").alias("forms"))
+    nodes = parsed.groupBy("node").agg(F.first("words").alias("words"), F.first("typed").alias("typed"), F.first("given").alias("given"), F.first("forms").alias("forms"))
     nodes = cut(nodes)
     f = nodes.select("node", F.explode("forms").alias("f")).select(F.struct("f.kind", "node").alias("id"), F.col("f.s").alias("s"), F.col("f.kind").alias("bucket"), F.col("f.k").alias("k"), F.col("f.role").alias("role"))
     pairs = similar(f.filter("role = 'i'"), f.filter("role = 'p'")).select(F.col("a.kind").alias("kind"), F.col("a.node").alias("a"), F.col("b.node").alias("b"), "distance").filter("a != b")
-    about = nodes.select("node", "words", "given")
-    side = lambda x: about.select(F.col("node").alias(x), F.col("words").alias(f"w{x}"), F.col("given").alias(f"g{x}"))
+    about = nodes.select("node", "words", "typed", "given")
+    side = lambda x: by_key(about.select(F.col("node").alias(x), F.col("words").alias(f"w{x}"), F.col("typed").alias(f"t{x}"), F.col("given").alias(f"g{x}")))
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     j = j.filter((F.size("ga") == 0) | (F.size("gb") == 0) | F.arrays_overlap("ga", "gb"))
-    j = j.filter(F.pandas_udf(_agree, "boolean")("kind", "wa", "wb"))
+    j = j.filter(F.pandas_udf(_agree, "boolean")("kind", "wa", "wb", "ta", "tb"))
     full = lambda c: F.size(F.filter(c, lambda w: F.length(w) > 1)) > 1
     links = cut(j.select("kind", "a", "b", "distance", full("wa").alias("fa"), full("wb").alias("fb")))
     first = components(links.filter("kind in ('F', 'C') and fa and fb"))
-    base = nodes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("c0"))
+    base = nodes.select("node").join(by_key(first), "node", "left").select("node", F.coalesce("component", "node").alias("c0"))
     hub = base.withColumnsRenamed({"node": "a", "c0": "ca"})
     own = base.withColumnsRenamed({"node": "b", "c0": "cb"})
-    fits = links.filter("fa and (kind in ('T', 'I') or not fb)").join(hub, "a").join(own, "b").filter("ca != cb")
+    fits = links.filter("fa and (kind in ('T', 'I') or not fb)").join(by_key(hub), "a").join(by_key(own), "b").filter("ca != cb")
     fits = fits.groupBy("b", "cb", "ca").agg(F.min(F.struct(F.when(F.col("kind").isin("F", "C"), 0).otherwise(1).alias("o"), "distance")).alias("how"))
-    sizes = parsed.groupBy("node").count().join(base, "node").groupBy(F.col("c0").alias("ca")).agg(F.sum("count").alias("names"))
+    sizes = parsed.groupBy("node").count().join(by_key(base), "node").groupBy(F.col("c0").alias("ca")).agg(F.sum("count").alias("names"))
     w = Window.partitionBy("b")
-    best = fits.join(sizes, "ca").withColumn("best", F.min("how").over(w)).filter("how = best")
+    best = fits.join(by_key(sizes), "ca").withColumn("best", F.min("how").over(w)).filter("how = best")
     best = best.withColumn("most", F.max("names").over(w)).withColumn("all", F.sum("names").over(w)).filter("names = most and 3 * most > 2 * all")
     second = components(best.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    final = base.join(second.withColumnRenamed("node", "c0"), "c0", "left").select("node", F.coalesce("component", "c0").alias("class"))
-    named = parsed.select("name", F.when(F.size("words") == 0, F.xxhash64("name")).otherwise(F.col("node")).alias("node"))
-    return named.join(final, "node", "left").select("name", F.coalesce("class", "node").alias("class"))
+    final = base.join(by_key(second.withColumnRenamed("node", "c0")), "c0", "left").select("node", F.coalesce("component", "c0").alias("class"))
+    named = parsed.select("name", F.when(F.size("words") == 0, identity(F.lit("name"), "name")).otherwise(F.col("node")).alias("node"))
+    return named.join(by_key(final), "node", "left").select("name", F.coalesce("class", "node").alias("class"))
 
 
-def spelling_pairs(records: DataFrame, record: str = "entity_id", name: str = "business_name", salts: int = 8) -> DataFrame:
+def members(records: DataFrame, record: str = "entity_id", name: str = "business_name") -> DataFrame:
+    """(id, name, class): the class of every record whose name isn't null or blank; a record given twice counts once."""
+    r = records.select(F.col(record).alias("id"), F.col(name).alias("name")).filter("id is not null and trim(name) != ''").distinct()
+    return cut(r.join(by_key(classes(r.select("name").distinct())), "name").select("id", "name", "class"))
+
+
+def spelling_classes(records: DataFrame, record: str = "entity_id", name: str = "business_name") -> DataFrame:
+    """(entity_id, class, n_links): per record its class, named by the smallest id in it, and how many records of the class spell the name otherwise."""
+    m = members(records, record, name)
+    per = m.groupBy("class", "name").agg(F.count(F.lit(1)).alias("same"))
+    all_ = m.groupBy("class").agg(F.count(F.lit(1)).alias("all"), F.min("id").alias("first"))
+    j = m.join(by_key(per), ["class", "name"]).join(by_key(all_), "class")
+    return j.select(F.col("id").alias("entity_id"), F.col("first").alias("class"), (F.col("all") - F.col("same")).alias("n_links"))
+
+
+def spelling_pairs(records: DataFrame, record: str = "entity_id", name: str = "business_name") -> DataFrame:
     """(entity_id_a, entity_id_b): records whose names are different spellings of one organisation's name, a < b.
 
     Null and blank names take no part; the same string is no pair; a record given twice counts once. The pairs within a
     class are made on salted keys, so that a class of any size is spread over tasks.
     """
-    r = records.select(F.col(record).alias("id"), F.col(name).alias("name")).filter("id is not null and trim(name) != ''").distinct()
-    c = classes(r.select("name").distinct())
-    m = cut(r.join(c, "name").select("id", "class", F.xxhash64("name").alias("h"), "name"))
-    a = m.select(F.col("id").alias("entity_id_a"), "class", F.col("name").alias("na"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    b = m.select(F.col("id").alias("entity_id_b"), "class", F.col("name").alias("nb"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return a.join(b, ["class", "salt"]).filter("entity_id_a < entity_id_b and na != nb").select("entity_id_a", "entity_id_b").distinct()
+    p = pairs_within(members(records, record, name), "class", "id", "name")
+    return p.filter("a_name != b_name").select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b")).distinct()
