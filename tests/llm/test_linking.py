@@ -110,15 +110,14 @@ def test_index_recall_against_brute_force(spark):
     s1, s2, _ = world(3, 200)
     plan = matching.Plan(fit_records=400)
     idx = matching.candidates(frame(spark, s1), frame(spark, s2), plan)
-    p = idx.profiles.dropDuplicates(["pid"]).toPandas()
+    p = idx.shapes.toPandas()
     v = idx.vectors.value
     nm = np.stack([v.of(matching.name_tokens(list(w))) for w in p.words])
     st = np.stack([v.of(matching.street_tokens(s)) for s in p.street])
-    ours = {x[1] for x in s1}
     near = []
-    for i in np.flatnonzero(p.name.isin(ours) & p.number.notna()):
+    for i in np.flatnonzero(p.one & p.number.notna()):
         same = np.flatnonzero((p.number == p.number[i]).to_numpy())
-        near += [(p.pid[i], p.pid[j]) for j in same if j != i and nm[i] @ nm[j] >= 0.7 and st[i] @ st[j] >= 0.7 and p.name[j] not in ours]
+        near += [(p.pid[i], p.pid[j]) for j in same if j != i and nm[i] @ nm[j] >= 0.7 and st[i] @ st[j] >= 0.7 and p.other[j]]
     found = set(map(tuple, idx.pairs.select("s1", "other").toPandas().to_numpy().tolist()))
     assert len(near) > 100 and sum(x in found for x in near) >= 0.9 * len(near)
 
