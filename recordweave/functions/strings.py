@@ -1,122 +1,244 @@
-"""String similarities of record linkage: edit ratios, token ratios, Jaro-Winkler, number comparisons."""
+"""String similarities of record linkage, for whole batches at a time: edit ratios, token ratios, Jaro-Winkler.
+
+Strings of a batch stand in matrices of code points, sorted by length so that blocks have little padding. The longest common
+subsequence of all pairs of a block advances together, one letter of the longer strings a step, in 64-bit rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WORD = 63  # letters of the shorter string that fit a row
+BLOCK, CELLS = 2048, 1 << 20  # most pairs and letters of a block
+
+
+def _codes(xs: list[str], width: int, pad: int) -> np.ndarray:
+    m = np.full((len(xs), max(width, 1)), pad, np.uint32)
+    for i, x in enumerate(xs):
+        m[i, : len(x)] = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return m
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
-    if not a or not b:
-        return 0
+
+def _long_lcs(a: str, b: str) -> int:
+    """The same recurrence in one big integer, for strings longer than a row."""
+    full, row = (1 << len(a)) - 1, (1 << len(a)) - 1
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
     for c in b:
         hit = row & where.get(c, 0)
         row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """2 LCS / (len a + len b); 1 for two empty strings."""
-    n = len(a) + len(b)
-    return 2 * lcs_length(a, b) / n if n else 1.0
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """Best ratio of the shared tokens, and of those with either side's others; 1 if one side's tokens are all shared."""
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    shared = " ".join(sorted(x & y))
-    left, right = " ".join(sorted(x - y)), " ".join(sorted(y - x))
-    if shared and (not left or not right):
-        return 1.0
-    one, two = (f"{shared} {left}".strip(), f"{shared} {right}".strip())
-    best = indel_ratio(one, two)
-    if shared:
-        best = max(best, indel_ratio(shared, one), indel_ratio(shared, two))
-    return best
-
-
-def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter string with a window of the longer one, of its length or cut off at an end."""
-    s, t = sorted((a, b), key=len)
-    if not s:
-        return 1.0 if not t else 0.0
-    k, letters, best = len(s), set(s), 0.0
-    for i in range(1 - k, len(t)):
-        w = t[max(0, i) : i + k]
-        # a window that begins and ends in letters the shorter one has can't be improved by its neighbour
-        if w and (w[0] in letters or w[-1] in letters):
-            best = max(best, indel_ratio(s, w))
-            if best == 1.0:
-                break
-    return best
-
-
-def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:
-    """Jaro-Winkler similarity; the prefix of up to four letters counts for Jaro above 0.7."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    span = max(max(len(a), len(b)) // 2 - 1, 0)
-    free = [True] * len(b)
-    mine = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - span), min(len(b), i + span + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                mine.append(c)
-                break
-    m = len(mine)
-    if not m:
-        return 0.0
-    theirs = [c for j, c in enumerate(b) if not free[j]]
-    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    same = 0
-    while same < min(4, len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return jaro + same * weight * (1 - jaro) if jaro > 0.7 else jaro
+def _hits(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """(rows, letters of the longer string): bits of the shorter string's places that hold the letter."""
+    bit = np.uint64(1) << np.arange(short.shape[1], dtype=np.uint64)
+    out = np.zeros(long.shape, np.uint64)
+    for i in range(short.shape[1]):
+        out |= np.where(short[:, i : i + 1] == long, bit[i], np.uint64(0))
+    return out
 
 
-def variant_best(a: str, b: str) -> float:
-    """Best token set ratio over |-joined variants."""
-    return max(token_set_ratio(x, y) for x in a.split("|") for y in b.split("|"))
+def _zeros(row: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many of the first n bits are 0."""
+    return np.bitwise_count(~row & ((np.uint64(1) << n.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
 
 
-SCORERS = {f.__name__: f for f in (indel_ratio, token_sort_ratio, token_set_ratio, partial_ratio, jaro_winkler, variant_best)}
+def _blocks(a: list[str], b: list[str]):
+    """(rows, shorter strings, longer strings) of blocks of pairs with like lengths; rows whose shorter string is too long come singly."""
+    pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b, strict=True)]
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][0]), len(pairs[i][1])))
+    fit = [i for i in order if len(pairs[i][0]) <= WORD]
+    at = 0
+    while at < len(fit):
+        rows, width = [], 1
+        for i in fit[at : at + BLOCK]:
+            width = max(width, len(pairs[i][1]))
+            if rows and width * (len(rows) + 1) > CELLS:
+                break
+            rows.append(i)
+        at += len(rows)
+        yield np.array(rows), [pairs[i][0] for i in rows], [pairs[i][1] for i in rows]
+    for i in order[len(fit) :]:
+        yield i, pairs[i][0], pairs[i][1]
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of the pairs."""
+    out = np.zeros(len(a), np.int64)
+    for rows, short, long in _blocks(a, b):
+        if isinstance(rows, int):
+            out[rows] = _long_lcs(short, long)
+            continue
+        n = np.array([len(x) for x in short])
+        hits = _hits(_codes(short, n.max(), 0xFFFFFFFF), _codes(long, max(map(len, long)), 0xFFFFFFFE))
+        row = np.full(len(short), ~np.uint64(0))
+        for j in range(hits.shape[1]):
+            hit = row & hits[:, j]
+            row = (row + hit) | (row - hit)
+        out[rows] = _zeros(row, n)
+    return out
+
+
+def indel_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """2 LCS / (length + length); 1 for two empty strings."""
+    n = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], float)
+    return np.where(n > 0, 2 * lcs_lengths(a, b) / np.maximum(n, 1), 1.0)
+
+
+def token_sort_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    tidy = lambda xs: [" ".join(sorted(x.split())) for x in xs]
+    return indel_ratios(tidy(a), tidy(b))
+
+
+def token_set_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Best ratio of the shared tokens, and of those with either side's others; 1 if one side's tokens are all shared, 0 without tokens."""
+    out = np.zeros(len(a))
+    owner, left, right = [], [], []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        s, t = set(x.split()), set(y.split())
+        if not s or not t:
+            continue
+        common = " ".join(sorted(s & t))
+        if common and (s <= t or t <= s):
+            out[i] = 1.0
+            continue
+        one, two = (" ".join(filter(None, (common, " ".join(sorted(u))))) for u in (s - t, t - s))
+        for p, q in ((one, two), (common, one), (common, two)) if common else ((one, two),):
+            owner.append(i)
+            left.append(p)
+            right.append(q)
+    if owner:
+        np.maximum.at(out, owner, indel_ratios(left, right))
+    return out
+
+
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Best ratio of the shorter string with a window of the longer one, of its length or cut off at an end; 0 if it is empty, 1 if both are."""
+    out = np.zeros(len(a))
+    for rows, short, long in _blocks(a, b):
+        if isinstance(rows, int):
+            k = len(short)
+            windows = [long[max(0, i) : i + k] for i in range(1 - k, len(long))]
+            out[rows] = max(2 * _long_lcs(short, w) / (k + len(w)) for w in windows)
+            continue
+        k, n = np.array([len(x) for x in short]), np.array([len(x) for x in long])
+        most, width = int(k.max()), int(n.max())
+        out[rows] = (n == 0).astype(float)
+        if not most:
+            continue
+        hits = _hits(_codes(short, most, 0xFFFFFFFF), _codes(long, width, 0xFFFFFFFE))
+        starts = np.arange(1 - most, width)
+        for at in range(0, len(rows), 64):  # all windows of a row advance together
+            s = slice(at, at + 64)
+            padded = np.pad(hits[s], ((0, 0), (most - 1, most)))
+            row = np.full((len(padded), len(starts)), ~np.uint64(0))
+            for step in range(most):
+                hit = row & padded[:, step : step + len(starts)] * (step < k[s, None]).astype(np.uint64)
+                row = (row + hit) | (row - hit)
+            inside = np.minimum(starts[None, :] + k[s, None], n[s, None]) - np.maximum(starts, 0)[None, :]
+            ratio = 2 * _zeros(row, np.broadcast_to(k[s, None], row.shape)) / (k[s, None] + np.maximum(inside, 1))
+            out[rows[s]] = np.maximum(out[rows[s]], np.where((inside > 0) & (k[s, None] > 0), ratio, 0).max(1))
+    return out
+
+
+def jaro_winklers(a: list[str], b: list[str], weight: float = 0.1) -> np.ndarray:
+    """Jaro-Winkler similarities; the prefix of up to four letters counts for Jaro above 0.7. 1 for equal strings, 0 if one is empty."""
+    out = np.zeros(len(a))
+    order = np.array(sorted(range(len(a)), key=lambda i: (len(a[i]), len(b[i]))), np.int64)
+    for at in range(0, len(order), BLOCK):
+        rows = order[at : at + BLOCK]
+        xs, ys = [a[i] for i in rows], [b[i] for i in rows]
+        nx, ny = np.array([len(x) for x in xs]), np.array([len(y) for y in ys])
+        x, y = _codes(xs, nx.max(), 0xFFFFFFFF), _codes(ys, ny.max(), 0xFFFFFFFE)
+        span = np.maximum(np.maximum(nx, ny) // 2 - 1, 0)
+        place = np.arange(y.shape[1])
+        mine, free = np.zeros(x.shape, bool), np.ones(y.shape, bool)
+        for i in range(x.shape[1]):
+            able = (y == x[:, i : i + 1]) & free & (np.abs(place - i) <= span[:, None])
+            hit = able.any(1)
+            free[np.flatnonzero(hit), able.argmax(1)[hit]] = False
+            mine[:, i] = hit
+        theirs = ~free
+        m = mine.sum(1)
+        pack = lambda codes, taken: np.take_along_axis(np.where(taken, codes, 0), np.argsort(~taken, axis=1, kind="stable"), 1)
+        p, q = pack(x, mine), pack(y, theirs)
+        w = min(p.shape[1], q.shape[1])
+        swaps = ((p[:, :w] != q[:, :w]) & (np.arange(w) < m[:, None])).sum(1) // 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = np.where(m > 0, (m / nx + m / ny + (m - swaps) / m) / 3, 0.0)
+        w = min(4, x.shape[1], y.shape[1])
+        same = np.cumprod(x[:, :w] == y[:, :w], axis=1).sum(1)
+        value = np.where(jaro > 0.7, jaro + same * weight * (1 - jaro), jaro)
+        out[rows] = np.where([p == q for p, q in zip(xs, ys, strict=True)], 1.0, value)
+    return out
+
+
+SCORERS: dict[str, Callable[[list[str], list[str]], np.ndarray]] = {"indel_ratio": indel_ratios, "token_sort_ratio": token_sort_ratios, "token_set_ratio": token_set_ratios, "partial_ratio": partial_ratios, "jaro_winkler": jaro_winklers}
+
+
+def _distinct(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+    """(rows with both strings, their place among the distinct pairs, the distinct pairs' strings)."""
+    there = np.flatnonzero((a.notna() & b.notna()).to_numpy())
+    place: dict[tuple[str, str], int] = {}
+    at = np.array([place.setdefault(k, len(place)) for k in zip(a.to_numpy()[there], b.to_numpy()[there], strict=True)], np.int64)
+    return there, at, [k[0] for k in place], [k[1] for k in place]
 
 
 def score(names: list[str], a: Column, b: Column) -> Column:
-    """A struct of the named similarities of two strings, in one Arrow pass; null where either string is null."""
+    """A struct of the named similarities of two strings, in one Arrow pass over a batch's distinct pairs; null where either string is null."""
 
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        known: dict[tuple, list] = {}
-        rows = []
-        for p, q in zip(x, y, strict=True):
-            if p is None or q is None:
-                rows.append([None] * len(names))
-                continue
-            if (p, q) not in known:
-                known[p, q] = [SCORERS[n](p, q) for n in names]
-            rows.append(known[p, q])
-        return pd.DataFrame(rows, columns=names, dtype=float)
+        there, at, left, right = _distinct(x, y)
+        out = pd.DataFrame(np.full((len(x), len(names)), np.nan), columns=names)
+        for n in names if len(there) else []:
+            out.loc[there, n] = SCORERS[n](left, right)[at]
+        return out.astype(object).where(out.notna(), None)
 
     return F.pandas_udf(run, ", ".join(f"{n} double" for n in names))(a, b)
 
 
+def best_score(name: str, a: Column, b: Column) -> Column:
+    """The best similarity of any string of one array with any of the other; null where an array is null or empty."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        owner, left, right = [], [], []
+        for i, (p, q) in enumerate(zip(x, y, strict=True)):
+            for s in p if p is not None else []:
+                for t in q if q is not None else []:
+                    owner.append(i)
+                    left.append(s)
+                    right.append(t)
+        out = np.full(len(x), -1.0)
+        if owner:
+            np.maximum.at(out, owner, SCORERS[name](left, right))
+        return pd.Series(out).astype(object).where(out >= 0, None)
+
+    return F.pandas_udf(run, "double")(a, b)
+
+
+def near_tokens(a: Column, b: Column, least: float = 0.8) -> Column:
+    """For each token of array a whether array b has one with an indel ratio of `least` or more; null where either is null."""
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        place: dict[tuple[str, str], int] = {}
+        for p, q in zip(x, y, strict=True):
+            for s in p if p is not None and q is not None else []:
+                for t in q:
+                    if s != t:
+                        place.setdefault((s, t), len(place))
+        close = indel_ratios([k[0] for k in place], [k[1] for k in place]) >= least - 1e-9 if place else np.zeros(0, bool)
+        return pd.Series([None if p is None or q is None else [any(s == t or close[place[s, t]] for t in q) for s in p] for p, q in zip(x, y, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "array<boolean>")(a, b)
+
+
 def edit_ratio(a: Column, b: Column) -> Column:
     """1 - Levenshtein distance / longer length, JVM-side; 1 for two empty strings."""
     longer = F.greatest(F.length(a), F.length(b))
@@ -144,54 +266,55 @@ def length_ratio(a: Column, b: Column) -> Column:
     return F.least(x, y) / F.greatest(x, y, F.lit(1))
 
 
+def sparse_dot(a: Column, b: Column) -> Column:
+    """Dot product of two maps from term to weight."""
+    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)))
+
+
+def weighted_jaccard(a: Column, b: Column) -> Column:
+    """Weight of the shared terms over that of all, of two maps from term to weight; null for 0 over 0."""
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, w: s + w)
+    both = F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + F.when(F.map_contains_key(b, e["key"]), e["value"]).otherwise(0.0))
+    union = total(a) + total(b) - both
+    return F.when(union > 0, both / union)
+
+
+def _telling(n: Column) -> Column:
+    """The numbers of two digits or more; all of them where there are none."""
+    long = F.filter(n, lambda x: F.length(x) > 1)
+    return F.when(F.size(long) > 0, long).otherwise(n)
+
+
 def number_features(a: Column, b: Column) -> Column:
-    """Struct of house-number comparisons of two number arrays; all null where either is empty.
+    """Struct of house-number comparisons of two arrays of digit strings; all null where either is null or empty.
 
-    Numbers of two digits or more count, or all where there are none: longest_eq, longest_in, best_ratio (edit ratio of
-    digit strings), min_reldiff (smallest relative difference on the first twelve digits) and prefix.
+    Numbers of two digits or more count, or all where there are none: longest_eq, longest_in, best_ratio (indel ratio of
+    digit strings), min_reldiff (smallest relative difference on the first twelve digits, at most 1) and prefix (a number
+    begins with a different one).
     """
-
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, q in zip(x, y, strict=True):
-            p, q = list(p) if p is not None else [], list(q) if q is not None else []
-            if not p or not q:
-                rows.append([None] * 5)
-                continue
-            p, q = [n for n in p if len(n) > 1] or p, [n for n in q if len(n) > 1] or q
-            top = lambda v: max(v, key=lambda n: (len(n), n))
-            pairs = [(m, n) for m in p for n in q]
-            apart = [(m, n) for m, n in pairs if m != n]
-            same = len(apart) < len(pairs)
-            relative = [abs(int(m[:12]) - int(n[:12])) / max(int(m[:12]), int(n[:12]), 1) for m, n in apart]
-            rows.append([float(top(p) == top(q)), float(top(p) in q), 1.0 if same else max(indel_ratio(m, n) for m, n in apart), 0.0 if same else min([1.0, *relative]), float(any(m.startswith(n) or n.startswith(m) for m, n in apart))])
-        return pd.DataFrame(rows, columns=["longest_eq", "longest_in", "best_ratio", "min_reldiff", "prefix"], dtype=float)
-
-    return F.pandas_udf(run, "longest_eq double, longest_in double, best_ratio double, min_reldiff double, prefix double")(a, b)
-
-
-def coverage(a: Column, b: Column, wa: Column, wb: Column) -> Column:
-    """Struct of how far each name's tokens are covered by the other's, exactly or with a ratio of 0.8; null where one is empty.
-
-    wa and wb: arrays of the weights of the tokens of a and b, in their order.
+    p, q = _telling(a), _telling(b)
+    there = (F.size(a) > 0) & (F.size(b) > 0)
+    longest = lambda n: F.array_max(F.transform(n, lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"]
+    value = lambda x: F.substring(x, 1, 12).cast("long")
+    apart = lambda x, y: F.abs(value(x) - value(y)) / F.greatest(value(x), value(y), F.lit(1))
+    nearest = F.array_min(F.transform(p, lambda x: F.array_min(F.transform(q, lambda y: F.when(x == y, 0.0).otherwise(apart(x, y))))))
+    begins = F.exists(p, lambda x: F.exists(q, lambda y: (x != y) & (x.startswith(y) | y.startswith(x))))
+    as_double = lambda c: F.when(there, c.cast("double"))
+    return F.struct(
+        as_double(longest(p) == longest(q)).alias("longest_eq"), as_double(F.array_contains(q, longest(p))).alias("longest_in"), best_score("indel_ratio", p, q).alias("best_ratio"),
+        as_double(F.least(nearest, F.lit(1.0))).alias("min_reldiff"), as_double(begins).alias("prefix"),
+    )
+
+
+def covered(tokens: Column, flags: Column, weights: Column) -> list[Column]:
+    """(share of the tokens' weight that is flagged, largest weight that isn't, number that aren't), of parallel arrays; null where tokens are empty.
+
+    weights: a map from token to weight; a token it lacks weighs as much as its heaviest.
     """
-
-    def side(mine: list[str], weights: list[float], other: list[str]) -> list[float]:
-        total = cov = worst = 0.0
-        missed = 0
-        for t, w in zip(mine, weights, strict=True):
-            total += w
-            if t in other or any(indel_ratio(t, o) >= 0.8 for o in other):
-                cov += w
-            else:
-                missed, worst = missed + 1, max(worst, w)
-        return [cov / total if total else None, worst, float(missed)]
-
-    def run(x: pd.Series, y: pd.Series, u: pd.Series, v: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, q, g, h in zip(x, y, u, v, strict=True):
-            p, q = (p or "").split(), (q or "").split()
-            rows.append([*side(p, g, q), *side(q, h, p)] if p and q else [None] * 6)
-        return pd.DataFrame(rows, columns=["a_cov", "a_miss", "a_n_miss", "b_cov", "b_miss", "b_n_miss"], dtype=float)
-
-    return F.pandas_udf(run, "a_cov double, a_miss double, a_n_miss double, b_cov double, b_miss double, b_n_miss double")(a, b, wa, wb)
+    rare = F.array_max(F.map_values(weights))
+    each = F.zip_with(tokens, flags, lambda t, f: F.struct(f.alias("f"), F.coalesce(F.try_element_at(weights, t), rare, F.lit(0.0)).alias("w")))
+    total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x["w"])
+    found = F.aggregate(each, F.lit(0.0), lambda s, x: s + F.when(x["f"], x["w"]).otherwise(0.0))
+    missed = F.filter(each, lambda x: ~x["f"])
+    there = F.size(tokens) > 0
+    return [F.when(there & (total > 0), found / total), F.when(there, F.coalesce(F.array_max(F.transform(missed, lambda x: x["w"])), F.lit(0.0))), F.when(there, F.size(missed).cast("double"))]

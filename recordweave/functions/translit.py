@@ -4,15 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 
-# The shared layout of the nine Brahmic blocks (offset in the 0x80-wide block: Roman letters).
-VOWELS = dict(zip([*range(0x05, 0x15), 0x60, 0x61], "a a i i u u ri li e e e ai o o o au ri li".split(), strict=True))
-CONSONANTS = dict(
-    zip([*range(0x15, 0x3A), *range(0x58, 0x60)], "k kh g gh n ch chh j jh n t th d dh n t th d dh n n p ph b bh m y r r l l l v sh sh s h q kh gh z r rh f y".split(), strict=True)
-)
-MATRAS = dict(zip([*range(0x3E, 0x4D), 0x62, 0x63], "a i i u u ri ri e e e ai o o o au li li".split(), strict=True))
-SIGNS = {0x01: "n", 0x02: "n", 0x03: "h"}
-VIRAMA, INHERENT = 0x4D, "a"
-SILENT = {0x3C, 0x3D, *range(0x51, 0x57), 0x57, 0x70, 0x71}
+from recordweave.functions.fixed import CONSONANTS, DIGIT_ZERO, OTHER_SIGNS, SILENT_SIGNS, VIRAMA, VOWEL_SIGNS, VOWELS
+
+INHERENT = "a"
 FIRST, LAST = 0x0900, 0x0D7F
 
 
@@ -32,26 +26,26 @@ def romanise(text: str | None) -> str | None:
     open_consonant = False  # the last letter is a consonant that may still take its inherent vowel
     for c in text:
         k = _kind(c)
-        if k in SILENT:
+        if k in SILENT_SIGNS:
             continue
         if open_consonant:
             open_consonant = False
-            if k in MATRAS:
-                out.append(MATRAS[k])
+            if k in VOWEL_SIGNS:
+                out.append(VOWEL_SIGNS[k])
                 continue
             if k == VIRAMA:
                 continue
-            if k in CONSONANTS or k in SIGNS:
+            if k in CONSONANTS or k in OTHER_SIGNS:
                 out.append(INHERENT)
         if k < 0:
             out.append(c)
         elif k in CONSONANTS:
             out.append(CONSONANTS[k])
             open_consonant = True
-        elif 0x66 <= k <= 0x6F:
-            out.append(str(k - 0x66))
+        elif DIGIT_ZERO <= k < DIGIT_ZERO + 10:
+            out.append(str(k - DIGIT_ZERO))
         else:
-            out.append(VOWELS.get(k) or SIGNS.get(k) or MATRAS.get(k) or "")
+            out.append(VOWELS.get(k) or OTHER_SIGNS.get(k) or VOWEL_SIGNS.get(k) or "")
     return "".join(out)
 
 

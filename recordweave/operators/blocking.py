@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordweave.functions.text import numbers, tokens
-from recordweave.operators.tfidf import char_terms, similarity, term_counts, top_k, vocabulary, weights, word_terms
+from recordweave.operators.tfidf import char_terms, nearest, term_counts, top_k, vocabulary, weights, word_terms
+from recordweave.runtime import by_key, cut
 
 
 class Pass(NamedTuple):
@@ -19,27 +20,29 @@ class Pass(NamedTuple):
     max_df: float
     k: int
 
+    def terms(self) -> Column:
+        return char_terms(self.text, self.chars) if self.chars else word_terms(self.text)
+
 
 def passes() -> dict[str, Pass]:
     core, addr, phon = F.col("core"), F.col("addr"), F.col("phon")
     both = lambda a: F.concat_ws(" ", a, addr)
-    return {"na": Pass(both(core), 0, 0.05, 10), "c4": Pass(both(core), 4, 0.02, 5), "ph": Pass(both(phon), 0, 0.05, 5), "nm": Pass(core, 0, 0.05, 5)}
+    return {"na": Pass(both(core), 0, 0.01, 10), "c4": Pass(both(core), 4, 0.002, 5), "ph": Pass(both(phon), 0, 0.01, 5), "nm": Pass(core, 0, 0.01, 5)}
 
 
 def pooled(records: DataFrame, labels: DataFrame) -> DataFrame:
-    """records with a pool: their label, or every label for records without one."""
+    """records with a pool: their label, or every label for records without one; all records in one pool where there is no label at all."""
     known = records.filter("country != ''").withColumn("pool", F.col("country"))
-    rest = records.filter("country = ''").withColumn("_one", F.lit(1)).join(labels.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    all_ = labels.select("pool").unionByName(labels.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit("").alias("pool")))
+    rest = records.filter("country = ''").withColumn("_one", F.lit(1)).join(all_.withColumn("_one", F.lit(1)), "_one").drop("_one")
     return known.unionByName(rest)
 
 
 def postings(records: DataFrame, spec: Pass) -> DataFrame:
     """(src, id, term, w): weighted terms of all records; the vocabulary is fitted on all of them together."""
-    terms = char_terms(spec.text, spec.chars) if spec.chars else word_terms(spec.text)
-    c = term_counts(records.withColumn("_key", F.concat_ws("/", "src", "id")), "_key", terms)
-    v = vocabulary(c, records.count(), 2, spec.max_df)
-    w = weights(c, v, "_key")
-    return w.select(F.substring("_key", 1, 1).cast("int").alias("src"), F.expr("substring(_key, 3)").alias("id"), "term", "w")
+    c = cut(term_counts(records.withColumn("_key", F.struct("src", "id")), "_key", spec.terms()))
+    w = weights(c, vocabulary(c, records.count(), 2, spec.max_df), "_key")
+    return w.select("_key.src", "_key.id", "term", "w")
 
 
 def run_pass(records: DataFrame, spec: Pass, reverse_k: int = 0) -> tuple[DataFrame, DataFrame | None]:
@@ -49,14 +52,48 @@ def run_pass(records: DataFrame, spec: Pass, reverse_k: int = 0) -> tuple[DataFr
     found in several pools keeps its best rank. The reverse pass competes against all source1 records.
     """
     labels = records.filter("country != ''").select(F.col("country").alias("pool")).distinct()
-    w = postings(records, spec).join(pooled(records.select("src", "id", "country"), labels).select("src", "id", "pool"), ["src", "id"])
+    w = cut(postings(records, spec).join(by_key(pooled(records.select("src", "id", "country"), labels).select("src", "id", "pool")), ["src", "id"]))
     q = w.filter("src = 1").select(F.struct("pool", F.col("id").alias("s1")).alias("q"), "term", "pool", "w")
-    t = w.filter("src != 1").select(F.struct("src", F.col("id").alias("r")).alias("t"), "term", "pool", "w")
-    s = similarity(q, t, "q", "t", "pool").select("q.pool", "q.s1", "t.src", "t.r", "sim")
+    t = w.filter("src != 1").select(F.struct("pool", "src", F.col("id").alias("r")).alias("t"), "term", "pool", "w")
+    flat = lambda s: s.select("q.pool", "q.s1", "t.src", "t.r", "sim")
     best = lambda x: x.groupBy("s1", "src", "r").agg(F.min("rank").alias("rank"), F.max("sim").alias("sim"))
-    forward = best(top_k(s, ["s1", "src", "pool"], "r", spec.k))
-    backward = best(top_k(s, ["r", "src", "pool"], "s1", reverse_k)) if reverse_k else None
-    return forward, backward
+    s, whole = nearest(q, t, "q", "t", "pool", spec.k, F.col("t.src"), 2)
+    if reverse_k and whole:
+        s = cut(s)
+    forward = best(top_k(flat(s), ["s1", "src", "pool"], "r", spec.k))
+    if not reverse_k:
+        return forward, None
+    back = s if whole else nearest(t, q, "t", "q", "pool", reverse_k)[0]
+    return forward, best(top_k(flat(back), ["r", "src", "pool"], "s1", reverse_k))
+
+
+def within_label(records: DataFrame, text: Column, fit_on: Column, max_df: float) -> DataFrame:
+    """(src, id, pool, term, w): word weights with a vocabulary per label, fitted on the label's records of fit_on; records without a label have none."""
+    known = records.filter("country != ''").withColumn("_key", F.struct("country", "src", "id"))
+    c = cut(known.select("_key", fit_on.alias("_fit"), F.explode(word_terms(text)).alias("term")).groupBy("_key", "_fit", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("pool", F.col("_key.country")))
+    n = known.filter(fit_on).groupBy(F.col("country").alias("pool")).agg(F.count(F.lit(1)).alias("n"))
+    v = vocabulary(c.filter("_fit"), n, 2, max_df, ["pool"])
+    return weights(c.drop("_fit"), v, "_key", by=["pool"]).select("_key.src", "_key.id", "pool", "term", "w")
+
+
+def empty_address_pairs(records: DataFrame, k: int = 50, max_df: float = 0.01) -> DataFrame:
+    """(s1, src, r, rank, sim): of each record without an address the k source1 records of its label with the most similar core name."""
+    some = records.filter("country != '' and (src = 1 or addr = '')")
+    w = cut(within_label(some, F.col("core"), F.col("src") == 1, max_df))
+    q = w.filter("src != 1").select(F.struct("pool", "src", F.col("id").alias("r")).alias("q"), "term", "pool", "w")
+    t = w.filter("src = 1").select(F.struct("pool", F.col("id").alias("s1")).alias("t"), "term", "pool", "w")
+    s = nearest(q, t, "q", "t", "pool", k)[0].select("t.s1", "q.src", "q.r", "sim")
+    return top_k(s, ["r", "src"], "s1", k)
+
+
+def neighbours(records: DataFrame, anchors: DataFrame, k: int = 11, max_df: float = 0.01) -> DataFrame:
+    """(src, r, src2, r2): of each anchor (src, r) the k source2 and source3 records of its label, itself included, with the most similar name and address."""
+    some = records.filter("country != '' and src != 1")
+    w = cut(within_label(some, F.concat_ws(" ", "core", "addr"), F.lit(True), max_df))
+    t = w.select(F.struct("pool", F.col("src").alias("src2"), F.col("id").alias("r2")).alias("t"), "term", "pool", "w")
+    q = w.join(by_key(anchors.select("src", F.col("r").alias("id")).distinct()), ["src", "id"], "left_semi").select(F.struct("pool", "src", F.col("id").alias("r")).alias("q"), "term", "pool", "w")
+    s = nearest(q, t, "q", "t", "pool", k)[0].select("q.src", "q.r", "t.src2", "t.r2", "sim").withColumn("_o", F.struct("src2", "r2"))
+    return top_k(s, ["src", "r"], "_o", k).select("src", "r", "src2", "r2")
 
 
 def united(found: dict[str, DataFrame]) -> DataFrame:

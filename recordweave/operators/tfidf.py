@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordweave.functions.strings import sparse_dot
 from recordweave.functions.text import tokens
+from recordweave.runtime import by_key, cut
 
 
 def word_terms(text: Column) -> Column:
@@ -28,33 +30,61 @@ def term_counts(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 1.0) -> DataFrame:
-    """(term, df, idf) of terms in at least min_df and at most max_df of all documents; idf = ln((1 + n) / (1 + df)) + 1.
+def vocabulary(counts: DataFrame, n_docs: int | DataFrame, min_df: int = 2, max_df: float = 1.0, by: list[str] | None = None) -> DataFrame:
+    """(by, term, df, idf) of terms in at least min_df and at most max_df of all documents; idf = ln((1 + n) / (1 + df)) + 1.
 
-    The upper bound decides what the similarity join costs: a term of df documents makes up to df * df rows.
+    by: columns that part the documents into collections with a vocabulary each; n_docs is then a table (by, n).
     """
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
-
-
-def weights(counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool = True) -> DataFrame:
-    """(key, term, w): tf-idf weights, each document of length 1. Documents without a term of the vocabulary have no rows."""
-    tf = 1.0 + F.log("tf") if sublinear else F.col("tf").cast("double")
-    raw = counts.join(vocab.select("term", "idf"), "term").select(key, "term", (tf * F.col("idf")).alias("r"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("r") / F.col("norm")).alias("w"))
-
-
-def similarity(q: DataFrame, t: DataFrame, q_key: str, t_key: str, pool: str | None = None, digits: int = 6) -> DataFrame:
-    """(q_key, t_key, sim): cosines above 0 of all pairs that share a term (and the pool), exactly, by one postings join.
-
-    Partial sums are combined map-side; only terms of the pruned vocabulary meet, so no term makes more than
-    (max_df * n)^2 rows, and AQE splits the skewed ones.
+    by = by or []
+    df = counts.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
+    df = df.join(F.broadcast(n_docs.withColumnRenamed("n", "_n")), by) if by else df.withColumn("_n", F.lit(n_docs))  # one row a collection
+    df = df.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n")))
+    return df.select(*by, "term", "df", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def weights(counts: DataFrame, vocab: DataFrame, key: str, sublinear: bool | Column = True, by: list[str] | None = None) -> DataFrame:
+    """(by, key, term, w, idf): tf-idf weights, each document of length 1. Documents without a term of the vocabulary have no rows."""
+    by = by or []
+    tf = F.when(sublinear if isinstance(sublinear, Column) else F.lit(sublinear), 1.0 + F.log("tf")).otherwise(F.col("tf").cast("double"))
+    raw = counts.join(by_key(vocab.select(*by, "term", "idf")), [*by, "term"]).select(*by, key, "term", "idf", (tf * F.col("idf")).alias("r"))
+    norm = raw.groupBy(*by, key).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
+    return raw.join(by_key(norm), [*by, key]).select(*by, key, "term", (F.col("r") / F.col("norm")).alias("w"), "idf")
+
+
+def nearest(q: DataFrame, t: DataFrame, q_key: str, t_key: str, pool: str, k: int, group: Column | None = None, groups: int = 1, budget: int = 20_000, digits: int = 6) -> tuple[DataFrame, bool]:
+    """((q_key, t_key, sim), whole): of each q row set the targets of highest cosine in its pool, exactly; at least the k best of each group.
+
+    q and t are postings (key, term, pool, w) of vectors of length 1. A query first meets the postings of its rarest terms,
+    together at most budget of them (one term at least): that is all there is to do where no term is left (whole: the table
+    then has all pairs with a common term). Else the k-th best partial sum so far bounds what can still be among the k best:
+    a target without any of the rarest terms can't be longer than the query's remaining weights, so frequent terms are looked
+    up only while those outweigh the bound. Partial sums that could reach it are completed from the targets' own vectors.
+    group: the part of t_key that ranks are taken in (groups: how many there are).
     """
-    on = ["term", pool] if pool else ["term"]
-    right = t.withColumnRenamed("w", "_w")
-    both = q.join(right, on).groupBy(q_key, t_key).agg(F.sum(F.col("w") * F.col("_w")).alias("s"))
-    return both.select(q_key, t_key, F.round("s", digits).alias("sim")).filter("sim > 0.000001")
+    group = F.lit(0) if group is None else group
+    df = t.groupBy(pool, "term").agg(F.count(F.lit(1)).alias("_df"))
+    by_df = Window.partitionBy(q_key).orderBy("_df", "term")
+    x = q.join(by_key(df), [pool, "term"]).withColumns({"_met": F.sum("_df").over(by_df.rowsBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(by_df)})
+    x = x.withColumn("_early", (F.col("_met") <= budget) | (F.col("_i") == 1))
+    x = cut(x.withColumn("_left", F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_df.rowsBetween(0, Window.unboundedFollowing)))))
+    right = by_key(t.withColumnRenamed("w", "_w"))
+    meet = lambda rows: rows.join(right, ["term", pool]).groupBy(q_key, t_key).agg(F.sum(F.col("w") * F.col("_w")).alias("s"))
+    out = lambda s: s.select(q_key, t_key, F.round("s", digits).alias("sim")).filter("sim > 0.000001")
+    if x.filter("not _early").isEmpty():
+        return out(meet(x)), True
+    early = cut(meet(x.filter("_early")))
+    w = Window.partitionBy(q_key, group).orderBy(F.col("s").desc())
+    kth = early.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k).groupBy(q_key).agg(F.when(F.count(F.lit(1)) >= groups, F.min("s")).otherwise(0.0).alias("_kth"))
+    late = x.filter("not _early").join(by_key(kth), q_key, "left").withColumn("_kth", F.coalesce("_kth", F.lit(0.0)))
+    late = cut(late.withColumn("_need", F.col("_left") + 2e-6 >= F.col("_kth")))
+    partial = early.unionByName(meet(late.filter("_need"))).groupBy(q_key, t_key).agg(F.sum("s").alias("s"))
+    rest = late.filter("not _need").groupBy(q_key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("_rest"), F.max("_left").alias("_slack"), F.first("_kth").alias("_kth"))
+    p = partial.join(by_key(rest), q_key, "left")
+    done = p.filter("_rest is null")
+    asked = p.filter(F.col("_rest").isNotNull() & (F.col("s") + F.col("_slack") + 2e-6 >= F.col("_kth")))
+    whole = t.groupBy(t_key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("_all"))
+    full = asked.join(by_key(whole), t_key).withColumn("s", F.col("s") + sparse_dot(F.col("_rest"), F.col("_all")))
+    return out(done.select(q_key, t_key, "s").unionByName(full.select(q_key, t_key, "s"))), False
 
 
 def top_k(sims: DataFrame, by: list[str], other: str, k: int, rank: str = "rank", cap: int = 254) -> DataFrame:

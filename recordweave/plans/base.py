@@ -6,28 +6,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordweave.functions import text as X
-from recordweave.runtime import table
+from recordweave.runtime import once, spread, table
 
 
-def records(spark: SparkSession, d: str, split: str | None = None) -> DataFrame:
-    """(src, id, pos, split, country, name, core, addr, postal, phon): one row per record of the three sources, normalised."""
+def _texts(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for k in (1, 2, 3):
         t = table(spark, d, f"source{k}").select(F.lit(k).alias("src"), F.col("entity_id").alias("id"), "pos", "split", "business_name", "business_address", F.coalesce("country", F.lit("")).alias("country")).distinct()
         out = t if out is None else out.unionByName(t)
-    if split:
-        out = out.filter(F.col("split") == split)
-    out = out.withColumns({"name": X.clean_name(F.col("business_name")), "addr": X.clean_address(F.col("business_address"))}).drop("business_name", "business_address")
-    out = out.withColumns({"core": X.core_of(F.col("name")), "postal": X.postal(F.col("addr"))})
+    return out
+
+
+def normalised(texts: DataFrame) -> DataFrame:
+    """texts with name, variants, addr, core, postal, nums and phon instead of business_name and business_address.
+
+    Brahmic scripts are romanised first; the name is that of all its parts, an added trade name's as well.
+    """
+    out = texts.withColumns({"variants": F.array_join(X.name_variants(F.col("business_name")), "|"), "addr": X.clean_address(F.col("business_address"))}).drop("business_name", "business_address")
+    out = out.withColumn("name", F.replace("variants", F.lit("|"), F.lit(" ")))
+    out = out.withColumns({"core": X.core_of(F.col("name")), "postal": X.postal(F.col("addr")), "nums": F.array_join(X.numbers(F.col("addr")), " ")})
     return out.withColumn("phon", X.phonetic(F.col("core")))
 
 
+def records(spark: SparkSession, d: str, split: str | None = None) -> DataFrame:
+    """(src, id, pos, split, country, name, variants, core, addr, postal, nums, phon): one row per record of the three sources, normalised.
+
+    Written once per session to the shared folder and read from there by every query; again when the input files change.
+    """
+    out = once(spark, "records", [f"{d}/source{k}.parquet" for k in (1, 2, 3)], lambda: normalised(spread(_texts(spark, d), "src", "id")))
+    return out.filter(F.col("split") == split) if split else out
+
+
 SQL = f"""with raw as (select distinct 1 as src, entity_id as id, pos, split, business_name, business_address, coalesce(country, '') as country from source1
  union all select distinct 2, entity_id, pos, split, business_name, business_address, coalesce(country, '') from source2
  union all select distinct 3, entity_id, pos, split, business_name, business_address, coalesce(country, '') from source3),
-n1 as (select src, id, pos, split, country, {X.sql_clean_name("business_name")} as name, {X.sql_clean_address("business_address")} as addr from raw),
-n2 as (select *, {X.sql_core("name")} as core, {X.sql_postal("addr")} as postal from n1),
-rec as (select *, {X.sql_phonetic("core")} as phon from n2)"""
+nm_d as (select distinct business_name as raw from raw), {X.sql_name_ctes("nm_d")},
+ad_d as (select distinct business_address as raw from raw), {X.sql_address_ctes("ad_d")},
+n1 as (select src, id, pos, split, country, name, variants, addr from raw join named on business_name is not distinct from named.raw join placed on business_address is not distinct from placed.raw),
+n2 as (select *, {X.sql_core("name")} as core, {X.sql_postal("addr")} as postal, array_to_string({X.sql_numbers("addr")}, ' ') as nums from n1),
+rec as materialized (select *, {X.sql_phonetic("core")} as phon from n2)"""
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:

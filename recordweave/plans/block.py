@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from recordweave.operators import blocking as B
 from recordweave.operators import tfidf
 from recordweave.plans import base
-from recordweave.runtime import cut
+from recordweave.runtime import cut, once
 
 
 def _vocab(spark, d, name):
     r = base.records(spark, d, "test")
     p = B.passes()[name]
-    c = tfidf.term_counts(r.withColumn("k", F.concat_ws("/", "src", "id")), "k", tfidf.char_terms(p.text, p.chars) if p.chars else tfidf.word_terms(p.text))
+    c = tfidf.term_counts(r.withColumn("k", F.concat_ws("/", "src", "id")), "k", p.terms())
     return r, p, c, tfidf.vocabulary(c, r.count(), 2, p.max_df)
 
 
@@ -32,8 +32,7 @@ def tfidf_weights(spark, d):
 
 def _pass(name, reverse=False):
     def query(spark, d):
-        r = cut(base.records(spark, d, "test"))
-        f, b = B.run_pass(r, B.passes()[name], 2 if reverse else 0)
+        f, b = B.run_pass(base.records(spark, d, "test"), B.passes()[name], 2 if reverse else 0)
         return b if reverse else f
 
     query.__doc__ = f"Pass {name}: the best neighbours of each source1 record per source" + (", reversed" if reverse else "")
@@ -43,22 +42,24 @@ def _pass(name, reverse=False):
 block_na_topk, block_c4_topk, block_ph_topk, block_nm_topk, block_rev_topk = _pass("na"), _pass("c4"), _pass("ph"), _pass("nm"), _pass("na", True)
 
 
-def _union(spark, d, split):
-    r = cut(base.records(spark, d, split))
-    ps = B.passes()
-    na, rev = B.run_pass(r, ps["na"], 2)
-    found = {"na": na, **{n: B.run_pass(r, ps[n])[0] for n in ("c4", "ph", "nm")}, "rev": rev}
-    return r, B.united(found)
+def round1(spark, d, split):
+    """(s1, src, r, rank_ and sim_ of each pass): all candidates of the split."""
+
+    def make():
+        r, ps = base.records(spark, d, split), B.passes()
+        na, rev = B.run_pass(r, ps["na"], 2)
+        return B.united({"na": na, **{n: B.run_pass(r, ps[n])[0] for n in ("c4", "ph", "nm")}, "rev": rev})
+
+    return once(spark, f"round1 {split}", [f"{d}/source{k}.parquet" for k in (1, 2, 3)], make)
 
 
 def block_union_pivot(spark, d):
-    return _union(spark, d, "test")[1]
+    return round1(spark, d, "test")
 
 
 def block_report_recall(spark, d):
     """Recall of the known pairs of the train split, overall and by pass and rank."""
-    r, u = _union(spark, d, "train")
-    return B.report(cut(u), base.truth(spark, d), r, {n: f"rank_{n}" for n in ("na", "c4", "ph", "nm", "rev")})
+    return B.report(round1(spark, d, "train"), base.truth(spark, d), base.records(spark, d, "train"), {n: f"rank_{n}" for n in ("na", "c4", "ph", "nm", "rev")})
 
 
 def pass_postal_num(spark, d):
@@ -74,26 +75,16 @@ def pass_rare_token(spark, d):
     return B.rarest_token(base.records(spark, d, "test"), 20)
 
 
-def _empty(spark, d):
-    """Records without address: best source1 records by core words."""
-    r = cut(base.records(spark, d, "test").filter("country != '' and (src = 1 or addr = '')"))
-    return B.run_pass(r, B.passes()["nm"]._replace(k=50), 50)[1]
-
-
 def pass_empty_addr(spark, d):
-    return _empty(spark, d).select("s1", "src", "r", "rank", "sim")
+    """Records without address: best source1 records of their label by core words."""
+    return B.empty_address_pairs(base.records(spark, d, "test"))
 
 
 def pass_sibling(spark, d):
     """Neighbours among source2 and source3 records of each source1 record's five best candidates, without known pairs."""
-    r = cut(base.records(spark, d, "test").filter("country != ''"))
-    spec = B.passes()["na"]
-    na = cut(B.run_pass(r, spec)[0])
-    w = B.postings(r, spec).filter("src != 1").join(r.select("src", "id", F.col("country").alias("pool")), ["src", "id"])
-    a = w.select(F.struct("src", F.col("id").alias("r")).alias("a"), "term", "pool", "w")
-    s = tfidf.similarity(a, a.withColumnRenamed("a", "b"), "a", "b", "pool").select("a.src", "a.r", F.col("b.src").alias("src2"), F.col("b.r").alias("r2"), "sim")
-    near = tfidf.top_k(s.withColumn("o", F.struct("src2", "r2")), ["src", "r"], "o", 11).select("src", "r", "src2", "r2")
-    return B.new_pairs(B.sibling_pairs(B.anchors(na, "sim"), near), na)
+    r, found = base.records(spark, d, "test"), round1(spark, d, "test").filter("rank_na < 255")
+    a = cut(B.anchors(found, "sim_na"))
+    return B.new_pairs(B.sibling_pairs(a, B.neighbours(r, a)), found)
 
 
 def new_pairs_antijoin(spark, d):
@@ -128,7 +119,7 @@ def _sql_terms(name: str, p: str) -> str:
 
 def _sql_weights(name: str, where: str) -> str:
     """CTEs wNAME(src, id, term, w) over the rows of rec that where selects; vNAME is the vocabulary."""
-    p = {"na": 0.05, "c4": 0.02, "ph": 0.05, "nm": 0.05}[name]
+    p = {"na": 0.01, "c4": 0.002, "ph": 0.01, "nm": 0.01}[name]
     return f"""rs{name} as (select * from rec where {where}),
 x{name} as (select src, id, unnest({_sql_terms(name, '')}) as term from rs{name}), c{name} as (select src, id, term, count(*) as tf from x{name} group by all),
 m{name} as (select count(*) as n from rs{name}),
@@ -144,8 +135,9 @@ def _sql_pass(name: str, k: int, where: str, reverse: int = 0) -> str:
         _sql_weights(name, where)
         + f""",
 lb{name} as (select distinct country as pool from rs{name} where country != ''),
-pl{name} as (select src, id, country as pool from rs{name} where country != '' union all select src, id, pool from rs{name}, lb{name} where country = ''),
-pw{name} as (select w.*, pool from w{name} w join pl{name} using (src, id)),
+lc{name} as (select pool from lb{name} union all select '' where not exists (select 1 from lb{name})),
+pl{name} as (select src, id, country as pool from rs{name} where country != '' union all select src, id, pool from rs{name}, lc{name} where country = ''),
+pw{name} as materialized (select w.*, pool from w{name} w join pl{name} using (src, id)),
 s{name} as (select a.pool, a.id as s1, b.src, b.id as r, round(sum(a.w * b.w), 6) as sim from pw{name} a join pw{name} b on a.term = b.term and a.pool = b.pool and a.src = 1 and b.src != 1 group by all having round(sum(a.w * b.w), 6) > 0.000001),
 f{name} as (select s1, src, r, min(k - 1)::integer as rank, max(sim) as sim from (select *, row_number() over (partition by s1, src, pool order by sim desc, r) as k from s{name}) where k <= {k} group by all),
 b{name} as (select s1, src, r, min(k - 1)::integer as rank, max(sim) as sim from (select *, row_number() over (partition by r, src, pool order by sim desc, s1) as k from s{name}) where k <= {max(1, reverse)} group by all)"""
@@ -161,6 +153,17 @@ def _sql_union(where: str) -> str:
 
 
 _TEST = "split = 'test'"
+
+
+def _sql_label(n: str, text: str, where: str, fit: str, split: str = "test") -> str:
+    """CTE wN(src, id, pool, term, w): word weights with a vocabulary per label, fitted on the rows that fit names."""
+    return f"""rs{n} as (select * from rec where split = '{split}' and {where}), x{n} as (select src, id, country as pool, {fit} as fit, unnest(list_filter(string_split({text}, ' '), lambda t: t != '')) as term from rs{n}),
+c{n} as (select src, id, pool, fit, term, count(*) as tf from x{n} group by all), m{n} as (select country as pool, count(*) as n from rs{n} where {fit} group by all),
+v{n} as (select pool, term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 as idf from c{n} join m{n} using (pool) where fit group by pool, term having count(*) >= 2 and count(*) <= 0.01 * any_value(n)),
+q{n} as (select src, id, pool, term, (1.0 + ln(tf)) * idf as r from c{n} join v{n} using (pool, term)), l{n} as (select src, id, pool, sqrt(sum(r * r)) as norm from q{n} group by all),
+w{n} as materialized (select src, id, pool, term, r / norm as w from q{n} join l{n} using (src, id, pool))"""
+
+
 _NUMKEY = "list_filter(list_sort(list_distinct(regexp_extract_all(addr, '\\d+'))), lambda n: n != postal)"
 _POSTAL = f"""kp as (select src, id, country || '|' || postal || '|' || unnest({_NUMKEY}) as key from rec where {_TEST} and postal != ''),
 fp as (select key from kp where src = 1 group by key having count(*) <= 20),
@@ -191,10 +194,12 @@ ORACLE = {
     "pass_postal_num": f"{base.SQL}, {_POSTAL} select * from pp",
     "pass_phonetic_key": f"{base.SQL}, {_phon('test')} select * from pf",
     "pass_rare_token": f"{base.SQL}, {_RARE} select * from pr",
-    "pass_empty_addr": f"{base.SQL}, {_sql_pass('nm', 50, _TEST + chr(32) + 'and country != ' + chr(39) * 2 + ' and (src = 1 or addr = ' + chr(39) * 2 + ')', 50)} select * from bnm",
-    "pass_sibling": f"""{base.SQL}, {_sql_pass('na', 10, "split = 'test' and country != ''")},
+    "pass_empty_addr": f"""{base.SQL}, {_sql_label('e', 'core', "country != '' and (src = 1 or addr = '')", 'src = 1')},
+se as (select a.id as s1, b.src, b.id as r, round(sum(a.w * b.w), 6) as sim from we a join we b on a.pool = b.pool and a.term = b.term and a.src = 1 and b.src != 1 group by all having round(sum(a.w * b.w), 6) > 0.000001)
+select s1, src, r, (k - 1)::integer as rank, sim from (select *, row_number() over (partition by r, src order by sim desc, s1) as k from se) where k <= 50""",
+    "pass_sibling": f"""{base.SQL}, {_sql_pass('na', 10, _TEST)}, {_sql_label('l', "trim(core || ' ' || addr)", "country != '' and src != 1", 'true')},
 an as (select s1, src, r from (select *, row_number() over (partition by s1 order by sim desc, src, r) as k from fna) where k <= 5),
-sb as (select a.src, a.id as r, b.src as src2, b.id as r2, round(sum(a.w * b.w), 6) as sim from pwna a join pwna b on a.term = b.term and a.pool = b.pool and a.src != 1 and b.src != 1 group by all having round(sum(a.w * b.w), 6) > 0.000001),
+sb as (select a.src, a.id as r, b.src as src2, b.id as r2, round(sum(a.w * b.w), 6) as sim from wl a join wl b on a.term = b.term and a.pool = b.pool and (a.src, a.id) in (select src, r from an) group by all having round(sum(a.w * b.w), 6) > 0.000001),
 nb as (select * from (select *, row_number() over (partition by src, r order by sim desc, src2, r2) as k from sb) where k <= 11)
 select distinct s1, src2 as src, r2 as r from an join nb using (src, r) where not exists (select 1 from fna f where f.s1 = an.s1 and f.src = nb.src2 and f.r = nb.r2)""",
     "new_pairs_antijoin": f"{base.SQL}, {_POSTAL}, {_RARE} select * from pr except select * from pp",

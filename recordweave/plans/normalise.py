@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordweave.functions import text as X
+from recordweave.functions.fixed import DOMAIN_ENDINGS
 from recordweave.plans import base
 from recordweave.runtime import table
 
@@ -27,24 +28,24 @@ def norm_names(spark, d):
 
 
 def norm_addresses(spark, d):
-    return base.records(spark, d).select("src", "id", "addr", F.array_join(X.numbers(F.col("addr")), " ").alias("nums"), "postal")
+    return base.records(spark, d).select("src", "id", "addr", "nums", "postal")
 
 
 def norm_variants(spark, d):
-    r = _raw(spark, d)
-    return r.select("entity_id", F.array_join(X.name_variants(F.col("business_name")), "|").alias("variants")).distinct()
+    return base.records(spark, d).select(F.col("id").alias("entity_id"), "variants").distinct()
 
 
 def norm_domain(spark, d):
-    r = _raw(spark, d).select("entity_id", F.regexp_extract(F.trim("business_name"), "(?i)" + X.DOMAIN.replace("com|", "example|com|"), 1).alias("host")).filter("host != ''")
+    """Hosts of names that are web addresses; those of these tables end in example, the ending kept for examples."""
+    pattern = X.domain([*DOMAIN_ENDINGS, "example"])
+    r = _raw(spark, d).select("entity_id", F.regexp_extract(F.trim("business_name"), "(?i)" + pattern, 1).alias("host")).filter("host != ''")
     return r.distinct()
 
 
 def norm_romanised(spark, d):
-    """All fields with Brahmic scripts romanised first (Python, so without SQL)."""
-    r = _raw(spark, d).withColumns({"n": X.romanised(F.col("business_name")), "a": X.romanised(F.col("business_address"))})
-    r = r.select("entity_id", X.clean_name(F.col("n")).alias("name"), X.clean_address(F.col("a")).alias("addr")).withColumn("core", X.core_of(F.col("name")))
-    return r.withColumn("phon", X.phonetic(F.col("core"))).distinct()
+    """Names and addresses written in a Brahmic script, in Roman letters."""
+    r = _raw(spark, d).select("entity_id", F.explode(F.array("business_name", "business_address")).alias("text"))
+    return r.filter(F.col("text").rlike("[\u0900-\u0d7f]")).select("entity_id", X.romanised(F.col("text")).alias("roman")).distinct()
 
 
 def norm_token_counts(spark, d):
@@ -54,12 +55,12 @@ def norm_token_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (norm_base_clean, norm_names, norm_addresses, norm_variants, norm_domain, norm_romanised, norm_token_counts)}
 _RAW = "with r as (select distinct entity_id, business_name, business_address from source1 union all select distinct entity_id, business_name, business_address from source2 union all select distinct entity_id, business_name, business_address from source3)"
-_PARTS = f"regexp_split_to_array(coalesce(business_name, ''), '(?i){X.ALSO_KNOWN}')"
 ORACLE = {
-    "norm_base_clean": f"select doc_id, {X.sql_base_clean('text')} as clean from documents",
+    "norm_base_clean": f"with {X.sql_plain_ctes('t', 'documents', 'text')} select doc_id, {X.sql_base_clean('plain')} as clean from t",
     "norm_names": base.SQL + " select src, id, name, core, phon from rec",
-    "norm_addresses": base.SQL + f" select src, id, addr, array_to_string({X.sql_numbers('addr')}, ' ') as nums, postal from rec",
-    "norm_variants": _RAW + f" select distinct entity_id, array_to_string(list_filter(list_transform({_PARTS}, lambda v: {X.sql_clean_name("replace(v, '/', ' ')")}), lambda v: v != ''), '|') as variants from r",
-    "norm_domain": _RAW + f", h as (select distinct entity_id, regexp_extract(trim(business_name), '(?i){X.DOMAIN.replace('com|', 'example|com|')}', 1) as host from r) select * from h where host != ''",
+    "norm_addresses": base.SQL + " select src, id, addr, nums, postal from rec",
+    "norm_variants": base.SQL + " select distinct id as entity_id, variants from rec",
+    "norm_domain": _RAW + f", h as (select distinct entity_id, regexp_extract(trim(business_name), '(?i){X.domain([*DOMAIN_ENDINGS, 'example'])}', 1) as host from r) select * from h where host != ''",
+    "norm_romanised": _RAW + f", t as (select entity_id, business_name as text from r union all select entity_id, business_address from r), b as (select * from t where regexp_matches(text, '[\u0900-\u0d7f]')) select distinct entity_id, {X.sql_romanised('text')} as roman from b",
     "norm_token_counts": base.SQL + " select src, id, len(string_split(core, ' '))::integer - (core = '')::integer as n_core, len(string_split(addr, ' '))::integer - (addr = '')::integer as n_addr, length(core)::integer as len_core, string_split(core, ' ')[1] as first from rec",
 }

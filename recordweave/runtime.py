@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +79,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 
+def once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, cut once per session for these inputs (files or folders); made anew when one of their files changes."""
+    fs_conf, state = spark._jsc.hadoopConfiguration(), []
+    for i in inputs:
+        p = spark._jvm.org.apache.hadoop.fs.Path(i)
+        fs = p.getFileSystem(fs_conf)
+        for f in fs.listStatus(p):
+            state.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
+    sc = spark.sparkContext
+    known = sc.__dict__.setdefault("_recordweave_tables", {})
+    key = (name, *inputs)
+    if key not in known or known[key][0] != state:
+        known[key] = (state, cut(make()))
+    return known[key][1]
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per context, where they may not have it installed."""
     sc = spark.sparkContext

@@ -40,6 +40,40 @@ def test_similarity_join_equals_brute_force_cosine(spark):
     assert back.count() > 0
 
 
+@pytest.mark.parametrize("budget", [1, 6, 40, 10_000])
+def test_nearest_is_exact_with_any_budget(spark, budget):
+    r = random.Random(budget)
+    words = [f"w{i}" for i in range(30)]
+    vec = lambda: {w: r.random() + 0.05 for w in r.choices(words, weights=[1 / (i + 1) for i in range(30)], k=r.randint(1, 6))}
+    unit = lambda v: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+    q, t = ({i: unit(vec()) for i in range(n)} for n in (25, 120))
+    rows = lambda vs: spark.createDataFrame([(i, w, "p" if i % 5 else "o", x) for i, v in vs.items() for w, x in v.items()], "key int, term string, pool string, w double")
+    g = F.pmod("t", F.lit(2))
+    s, whole = tfidf.nearest(rows(q).withColumnRenamed("key", "q"), rows(t).withColumnRenamed("key", "t"), "q", "t", "pool", 3, g, 2, budget)
+    got = {(x.q, x.t, x["rank"]) for x in tfidf.top_k(s.withColumn("g", g), ["q", "g"], "t", 3).collect()}
+    want = set()
+    for a, v in q.items():
+        for k in (0, 1):
+            sims = [(-round(sum(x * u.get(w, 0) for w, x in v.items()), 6), b) for b, u in t.items() if b % 2 == k and bool(a % 5) == bool(b % 5)]
+            want |= {(a, b, i) for i, (_, b) in enumerate(sorted(x for x in sims if x[0] < 0)[:3])}
+    assert got == want and whole == (budget > 1000)
+
+
+def test_records_without_any_country_meet(spark):
+    df = records(spark, [(1, "a", "", "foo bar", "", ""), (2, "b", "", "foo bar", "", ""), (3, "c", "", "foo baz", "", "")])
+    found, back = B.run_pass(df, B.Pass(F.col("core"), 0, 1.0, 5), 1)
+    assert {(x.s1, x.r) for x in found.collect()} == {("a", "b"), ("a", "c")} == {(x.s1, x.r) for x in back.collect()}
+
+
+def test_expansion_passes(spark):
+    rows = [(1, f"a{i}", "X", f"foo{i % 3} bar{i}", "1 st", "") for i in range(6)] + [(2, "e", "X", "foo1 baz", "", ""), (3, "n", "X", "foo1 baz bar4", "2 st", ""), (2, "u", "", "foo1", "", "")]
+    df = records(spark, rows)
+    got = {(x.s1, x.r) for x in B.empty_address_pairs(df, 5, 1.0).collect()}
+    assert got == {("a1", "e"), ("a4", "e")}
+    near = {(x.r, x.r2) for x in B.neighbours(df, spark.createDataFrame([("s", 2, "e")], "s1 string, src int, r string"), 2, 1.0).collect()}
+    assert near == {("e", "e"), ("e", "n")}
+
+
 def test_records_without_country_meet_every_pool(spark):
     df = records(spark, [(1, "a", "X", "foo bar", "", ""), (2, "b", "", "foo bar", "", ""), (2, "c", "Y", "foo bar", "", ""), (1, "d", "", "foo bar", "", "")])
     found, _ = B.run_pass(df, B.Pass(F.col("core"), 0, 1.0, 5))
@@ -182,7 +216,7 @@ def test_word_features_know_every_word(spark, monkeypatch):
     from recordweave.plans import features as W
 
     cores = [(1, "a", "smith sons"), (2, "b", "smiht sons"), (2, "c", "smith sons"), *((3, f"x{i}", "sons trading") for i in range(20))]
-    rec = spark.createDataFrame([(*x, *[""] * 5) for x in cores], "src int, id string, core string, name string, addr string, postal string, phon string, country string")
+    rec = spark.createDataFrame([(*x, *[""] * 7) for x in cores], "src int, id string, core string, name string, variants string, addr string, postal string, nums string, phon string, country string")
     given = spark.createDataFrame([("a", 2, "b"), ("a", 2, "c")], "s1 string, src int, r string")
     monkeypatch.setattr(W.base, "records", lambda *_: rec)
     monkeypatch.setattr(W.B, "rarest_token", lambda *_: given)
@@ -193,5 +227,7 @@ def test_word_features_know_every_word(spark, monkeypatch):
     assert {x.r: x.name_wjacc for x in W.feat_weighted_jaccard(spark, "").collect()} == pytest.approx({"b": sons / (sons + smith + smiht), "c": 1}, abs=1e-6)
     cov = {x.r: x for x in W.feat_coverage(spark, "").collect()}
     assert cov["c"].a_cov == 1 and cov["b"].a_cov == pytest.approx(1 if cov["b"].a_n_miss == 0 else sons / (sons + smith)) and cov["b"].b_miss == pytest.approx(0 if cov["b"].b_n_miss == 0 else smiht)
-    plain = spark.createDataFrame([("sons alpha", "sons omega", [1.0, 3.0], [1.0, 5.0])], "a string, b string, u array<double>, v array<double>").select(W.S.coverage(F.col("a"), F.col("b"), F.col("u"), F.col("v")).alias("c")).select("c.*").first()
-    assert tuple(plain) == (0.25, 3.0, 1.0, pytest.approx(1 / 6), 5.0, 1.0)
+    plain = spark.createDataFrame([("sons alpha", {"sons": 1.0, "alpha": 3.0}, "sons omega", {"sons": 1.0, "omega": 5.0})], "a string, u map<string,double>, b string, v map<string,double>")
+    side = lambda t, o, w: W.S.covered(F.split(t, " "), W.S.near_tokens(F.split(t, " "), F.split(o, " ")), F.col(w))
+    assert tuple(plain.select(*side("a", "b", "u"), *side("b", "a", "v")).first()) == (0.25, 3.0, 1.0, pytest.approx(1 / 6), 5.0, 1.0)
+

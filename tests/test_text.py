@@ -32,6 +32,9 @@ def one(spark, f, *values):
         (X.name_variants, None, []),
         (X.postal, "12 n st 560001", "560001"),
         (X.numbers, "12 n st 560001 12", ["12", "560001"]),
+        (X.whole_name, "Foo Ltd d/b/a Bar", "foo ltd bar"),
+        (X.whole_name, "निजागु कंपनी", "nijagu kanpani"),
+        (X.clean_address, "१२ निजागु", "12 nijagu"),
         (X.romanised, "निजागु", "nijagu"),
         (X.romanised, None, None),
     ],
@@ -61,22 +64,49 @@ def test_ratios_against_brute_force():
     import random
 
     r = random.Random(1)
-    for _ in range(200):
-        a, b = ("".join(r.choice("abc ") for _ in range(r.randint(0, 12))) for _ in range(2))
-        assert S.lcs_length(a, b) == lcs(a, b)
-        s, t = sorted((a, b), key=len)
-        if s:
-            best = max(S.indel_ratio(s, t[max(0, i) : i + len(s)]) for i in range(1 - len(s), len(t)) if t[max(0, i) : i + len(s)])
-            assert S.partial_ratio(a, b) <= best + 1e-9
-            assert S.partial_ratio(a, b) == pytest.approx(best) or best < 0.99
+    a, b = (["".join(r.choice("abc é") for _ in range(r.randint(0, r.choice([4, 12, 90])))) for _ in range(300)] for _ in range(2))
+    assert S.lcs_lengths(a, b).tolist() == [lcs(x, y) for x, y in zip(a, b, strict=True)]
+
+    def partial(x, y):
+        s, t = sorted((x, y), key=len)
+        windows = [t[max(0, i) : i + len(s)] for i in range(1 - len(s), len(t))] if s else []
+        return max((2 * lcs(s, w) / (len(s) + len(w)) for w in windows if w), default=float(not t))
+
+    assert S.partial_ratios(a[:120], b[:120]) == pytest.approx([partial(x, y) for x, y in zip(a[:120], b[:120], strict=True)])
 
 
 def test_ratio_conventions():
-    assert S.indel_ratio("", "") == 1 and S.indel_ratio("a", "") == 0
-    assert S.token_set_ratio("a b", "b a c") == 1 and S.token_set_ratio("", "a") == 0
-    assert S.token_sort_ratio("b a", "a b") == 1
-    assert S.jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4)
-    assert S.variant_best("foo|bar", "bar") == 1
+    assert S.indel_ratios(["", "a"], ["", ""]).tolist() == [1, 0]
+    assert S.token_set_ratios(["a b", "", "a b x"], ["b a c", "a", "a b y"]).tolist() == pytest.approx([1, 0, 2 * 4 / 10])
+    assert S.token_sort_ratios(["b a"], ["a b"])[0] == 1
+    assert S.jaro_winklers(["martha", "", "", "dixon", "a"], ["marhta", "", "a", "dicksonx", "b"]).tolist() == pytest.approx([0.961111, 1, 0, 0.813333, 0], abs=1e-6)
+
+
+def test_array_scores(spark):
+    df = spark.createDataFrame([(["foo ltd", "bar"], ["bar"], {"foo": 2.0, "bar": 1.0}, {"bar": 3.0}), ([], ["x"], {}, {}), (None, ["x"], None, {"a": 1.0})], "a array<string>, b array<string>, m map<string,double>, n map<string,double>")
+    rows = df.select(
+        S.best_score("token_set_ratio", F.col("a"), F.col("b")).alias("v"), S.near_tokens(F.col("a"), F.array(F.lit("baar"), F.lit("q"))).alias("near"), S.sparse_dot(F.col("m"), F.col("n")).alias("dot"), S.weighted_jaccard(F.col("m"), F.col("m")).alias("wj"),
+        F.array(*S.covered(F.array(F.lit("foo"), F.lit("zip")), F.array(F.lit(True), F.lit(False)), F.col("m"))).alias("cov"),
+    ).collect()
+    assert rows[0].v == 1 and rows[0].near == [False, True] and rows[0].dot == 3 and rows[0].wj == 1 and rows[0].cov == [0.5, 2.0, 1.0]
+    assert rows[1].v is None and rows[1].near == [] and rows[1].dot == 0 and rows[1].wj is None
+    assert rows[2].v is None and rows[2].near is None and rows[2].dot is None
+
+
+def test_romanised_equals_the_state_machine(spark):
+    import random
+
+    r = random.Random(5)
+    block = [chr(c) for c in range(0x0900, 0x0D80)]
+    texts = ["".join(r.choice(block[128 * (i % 9) : 128 * (i % 9) + 128] if r.random() < 0.9 else ["a", " ", "-", "é"]) for _ in range(r.randint(1, 14))) for i in range(900)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.romanised(F.col("t")).alias("r")).collect()
+    assert [x.r for x in got] == [romanise(x.t) for x in got]
+
+
+def test_folded_equals_the_normal_form(spark):
+    texts = ["ﬁn ﬀ №5 ½ ™ ＡＢ１ é é ç ǅ ş ạ", "plain", "", None, "Ω ß ø"]
+    got = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(X.folded(F.col("t"))).collect()]
+    assert got[0].replace("⁄", "/") == fold(texts[0]).replace("⁄", "/") and got[1:4] == ["plain", "", None] and got[4][1:] == " ß ø"
 
 
 def test_scores_with_nulls_and_ties(spark):
