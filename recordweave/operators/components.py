@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordweave.runtime import by_key, cut
@@ -24,8 +24,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         large = both.join(by_key(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(by_key(low), "u").filter("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        state = (seen.get["n"], seen.get["h"])
         if state == before:
             break
         before = state
