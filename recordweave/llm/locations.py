@@ -118,14 +118,17 @@ def _same_street(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([any(one(x, y) for x in xs.split() for y in ys.split()) for xs, ys in zip(a, b, strict=True)])
 
 
-def _alike(streets: DataFrame, bucket: str) -> DataFrame:
-    """(a, b): ids of streets (id, street and a bucket column) of one bucket that are one street's name, misspelt or not, both ways; not a with itself."""
+def _alike(streets: DataFrame) -> DataFrame:
+    """(a, b): ids, in one bucket, whose streets are one street's name, misspelt or not; not an id with itself. streets has id, street, bucket, asks and wide.
+
+    Only rows that ask are looked up; those that aren't wide are found from the longer name, as both ask.
+    """
     k = F.when(F.length("s") >= 9, 2).otherwise(1)
-    i = streets.select("id", F.explode(F.split("street", " ")).alias("s"), F.col(bucket).alias("bucket"))
-    near = similar(i.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), i.withColumn("k", k)).filter("a != b").select("a", "b")
+    i = streets.select("id", F.explode(F.split("street", " ")).alias("s"), "bucket", "asks", "wide")
+    near = similar(i.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), i.filter("asks").withColumn("k", k)).filter("a != b").select("a", "b")
     name = lambda x: by_key(streets.select(F.col("id").alias(x), F.col("street").alias(f"s{x}")))
     near = near.join(name("a"), "a").join(name("b"), "b").filter(F.pandas_udf(_same_street, "boolean")("sa", "sb")).select("a", "b")
-    return cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    return cut(near)
 
 
 def locate(records: DataFrame, clean: DataFrame) -> DataFrame:
@@ -148,41 +151,46 @@ def locate(records: DataFrame, clean: DataFrame) -> DataFrame:
     full = full.join(by_key(placed), "rest", "left")
     full = full.select("address", "postal", "number", "street", "unit", F.array_sort(F.coalesce("towns", F.array().cast("array<string>"))).alias("towns"), F.substring(F.coalesce("written", "delivered"), 1, 5).alias("code"))
     same = identity("number", "street", F.array_join("towns", "|"), F.when(F.size("towns") == 0, F.coalesce("code", F.lit(""))).otherwise(""))
-    full = cut(full.withColumn("node", same))
-    nodes = cut(full.groupBy("node").agg(*[F.first(c).alias(c) for c in ("number", "street", "towns")]))
-    # towns, then the streets in them, then the numbers in these
-    at = cut(nodes.select("node", "number", "street", F.explode("towns").alias("town")).withColumn("street_id", identity("town", "street")).withColumn("place", identity("town", "street", "number")))
-    streets = _alike(at.select(F.col("street_id").alias("id"), "town", "street").distinct(), "town")
-    places = at.select("street_id", "number", "place").distinct()
-    there = lambda x, y: by_key(places.select(F.col("street_id").alias(x), "number", F.col("place").alias(y)))
-    linked = streets.filter("a < b").join(there("a", "pa"), "a").join(there("b", "pb"), ["b", "number"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
-    first = components(linked.unionByName(at.select(F.col("place").alias("a"), F.col("node").alias("b"))))
-    sure = at.select("node", "number", "street").distinct().join(by_key(first), "node").withColumnRenamed("component", "c0")
-    sure = cut(sure.withColumn("id", identity("number", "street")))
+    full = cut(full.withColumn("key", same))
+    # numbers for nodes, places and streets are written once, so that a retried task can't number them anew
+    nodes = cut(full.groupBy("key").agg(*[F.first(c).alias(c) for c in ("number", "street", "towns")]).withColumn("node", 2 * F.monotonically_increasing_id()))
+    # towns, then the streets in them, then the numbers in these; an address without a town stands at its street and number in any town
+    at = nodes.select("node", "number", "street", F.explode_outer("towns").alias("town"))
+    places = at.groupBy("town", "number", "street").agg(F.collect_set("node").alias("nodes"))
+    places = cut(places.withColumn("place", 2 * F.monotonically_increasing_id() + 1))
+    whole = places.select(F.lit("town").alias("kind"), F.col("town").alias("bucket"), "street", F.lit(True).alias("asks"), F.lit(False).alias("wide")).filter("bucket is not null")
+    any_ = places.select(F.lit("number").alias("kind"), F.col("number").alias("bucket"), "street", F.col("town").isNull().alias("asks"), F.lit(True).alias("wide"))
+    streets = whole.unionByName(any_).groupBy("kind", "bucket", "street").agg(F.max("asks").alias("asks"), F.max("wide").alias("wide"))
+    streets = cut(streets.withColumn("id", F.monotonically_increasing_id()))
+    close = _alike(streets.withColumn("bucket", F.concat("kind", F.lit("|"), "bucket")))
+    of = lambda kind, *names: by_key(streets.filter(F.col("kind") == kind).select("street", F.col("bucket").alias(kind), F.col("id").alias(names[0])))
+    located = places.filter("town is not null").join(of("town", "id"), ["town", "street"])
+    there = lambda x, y: by_key(located.select(F.col("id").alias(x), "number", F.col("place").alias(y)))
+    linked = close.join(there("a", "pa"), "a").join(there("b", "pb"), ["b", "number"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
     # without a town: the same street and number in all towns
-    open_ = cut(nodes.filter(F.size("towns") == 0).select("node", "number", "street").withColumn("id", identity("number", "street")))
-    spelt = sure.select("id", "number", "street").unionByName(open_.select("id", "number", "street")).distinct()
-    wide = _alike(spelt, "number")
-    wide = cut(wide.unionByName(spelt.select(F.col("id").alias("a"), F.col("id").alias("b"))))
-    codes = full.filter("code is not null").select("node", "code").distinct()
-    reach = open_.select("node", F.col("id").alias("a")).join(by_key(wide), "a").select("node", "b")
-    located = sure.select(F.col("id").alias("b"), "c0").distinct()
-    few = located.groupBy("b").agg(F.min("c0").alias("lo"), F.max("c0").alias("hi"))
-    able = reach.join(by_key(few), "b").groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    able = cut(able)
-    by_code = sure.select("node", F.col("id").alias("b"), "c0").join(by_key(codes), "node").select("b", "code", "c0").distinct()
-    coded = reach.join(by_key(able.filter("lo != hi").select("node")), "node", "left_semi").join(by_key(codes), "node").join(by_key(by_code), ["b", "code"])
-    coded = coded.groupBy("node").agg(F.min("c0").alias("lo"), F.max("c0").alias("hi"))
-    inherit = able.unionByName(coded).filter("lo = hi").select("node", F.col("lo").alias("c0"))
+    numbered = cut(places.join(of("number", "id"), ["number", "street"]).select("id", "place", F.explode("nodes").alias("node"), F.col("town").isNull().alias("open")))
+    ids = numbered.filter("open").select("id").distinct()
+    reach = ids.select(F.col("id").alias("a"), F.col("id").alias("b")).unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")).join(by_key(ids.withColumnRenamed("id", "a")), "a", "left_semi")).distinct()
+    reach = cut(reach)
+    known = numbered.filter("not open").select(F.col("id").alias("b")).distinct()
+    able = reach.join(by_key(known), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+    lost = cut(numbered.filter("open").join(by_key(able), "id", "left_anti").select("id", "place", "node"))
     # no town is known for the street and number: linked among themselves
-    lost = open_.join(by_key(able.select("node")), "node", "left_anti")
-    known = lost.select("id").distinct()
-    near = wide.filter("a < b").join(by_key(known.withColumnRenamed("id", "a")), "a", "left_semi").join(by_key(known.withColumnRenamed("id", "b")), "b", "left_semi")
-    among = components(near.unionByName(lost.select(F.col("id").alias("a"), F.col("node").alias("b")))).withColumnRenamed("component", "c0")
-    among = lost.select("node").join(by_key(among), "node")
-    final = sure.select("node", "c0").unionByName(inherit).unionByName(among.select("node", "c0"))
-    out = full.join(by_key(final), "node", "left")
-    return out.select("address", "postal", F.coalesce("c0", "node").alias("location"), "unit")
+    strays = lost.select("id", "place").distinct()
+    among = reach.filter("a != b").join(by_key(strays.select(F.col("id").alias("a"), F.col("place").alias("pa"))), "a").join(by_key(strays.select(F.col("id").alias("b"), F.col("place").alias("pb"))), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+    members_ = places.filter("town is not null").select(F.col("place").alias("a"), F.explode("nodes").alias("b")).unionByName(lost.select(F.col("place").alias("a"), F.col("node").alias("b")))
+    joined = cut(components(linked.unionByName(among).unionByName(members_)))
+    sure = numbered.filter("not open").select("id", "node").distinct().join(by_key(joined), "node").select(F.col("id").alias("b"), "node", F.col("component").alias("c0"))
+    sure = cut(sure)
+    few = reach.join(by_key(sure.groupBy("b").agg(F.min("c0").alias("lo"), F.max("c0").alias("hi"))), "b").groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    asked = numbered.filter("open").select(F.col("id").alias("a"), "node").join(by_key(few), "a")
+    asked = cut(asked)
+    codes = full.filter("code is not null").select("key", "code").distinct().join(by_key(nodes.select("key", "node")), "key").select("node", "code")
+    by_code = sure.join(by_key(codes), "node").select("b", "code", "c0").distinct()
+    coded = asked.filter("lo != hi").select("a", "node").join(by_key(codes), "node").join(by_key(reach), "a").join(by_key(by_code), ["b", "code"]).groupBy("node").agg(F.min("c0").alias("lo"), F.max("c0").alias("hi"))
+    inherit = asked.select("node", "lo", "hi").unionByName(coded).filter("lo = hi").select("node", F.col("lo").alias("component"))
+    final = nodes.select("key", "node").join(by_key(joined.unionByName(inherit)), "node", "left").select("key", F.coalesce("component", "node").alias("location"))
+    return full.join(by_key(final), "key").select("address", "postal", "location", "unit")
 
 
 def members(records: DataFrame, record: str = "entity_id", address: str = "business_address", clean: DataFrame | None = None) -> DataFrame:

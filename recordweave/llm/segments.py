@@ -30,10 +30,10 @@ def _index(df: DataFrame) -> DataFrame:
     return x.select("id", "whole", "s", "k", _key(F.col("bucket"), F.length("s"), F.col("g.i"), F.expr("substring(s, g.p + 1, g.w)")).alias("key"), F.expr("concat(substring(s, 1, g.p), substring(s, g.p + g.w + 1))").alias("left"))
 
 
-def _probe(df: DataFrame, both_ways: bool) -> DataFrame:
-    """Substrings of every string at each place where a segment of a string within k edits can stand."""
+def _probe(df: DataFrame) -> DataFrame:
+    """Substrings of every string at each place where a segment of a string within k edits can stand; of longer strings only where wide."""
     n, k, m = F.length("s"), F.col("k"), F.col("k") + 1
-    lengths = F.sequence(F.greatest(k + 1, n - k), n + k if both_ways else F.greatest(k + 1, n))
+    lengths = F.sequence(F.greatest(k + 1, n - k), F.greatest(k + 1, F.when(F.col("wide"), n + k).otherwise(n)))
 
     def places(l: Column) -> Column:
         d = n - l
@@ -46,12 +46,12 @@ def _probe(df: DataFrame, both_ways: bool) -> DataFrame:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), k), at))
 
-    x = df.filter(n > 0).select("*", F.explode(F.flatten(F.transform(lengths, places))).alias("g"))
+    x = df.filter((n > 0) & ((n > k) | F.col("wide"))).select("*", F.explode(F.flatten(F.transform(lengths, places))).alias("g"))
     return x.select("id", "whole", "s", "k", _key(F.col("bucket"), F.col("g.l"), F.col("g.i"), F.expr("substring(s, g.p + 1, g.w)")).alias("key"), F.expr("concat(substring(s, 1, g.p), substring(s, g.p + g.w + 1))").alias("left"))
 
 
-def _candidates(index: DataFrame, probe: DataFrame, both_ways: bool, depth: int, hot: int) -> DataFrame:
-    i, p = _index(index), _probe(probe, both_ways)
+def _candidates(index: DataFrame, probe: DataFrame, depth: int, hot: int) -> DataFrame:
+    i, p = _index(index), _probe(probe)
     one = lambda x, side: x.select(F.col("id").alias(f"{side}id"), F.col("whole").alias(f"{side}s"), F.col("k").alias(f"{side}k"), "key")
     # pairs whose strings need not be compared again are left out by the caller
     crowded = cut(i.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot))
@@ -64,9 +64,9 @@ def _candidates(index: DataFrame, probe: DataFrame, both_ways: bool, depth: int,
         right = one(p.join(by_key(crowded), "key").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("key", F.struct("key", "salt")), "p")
         return cold.unionByName(left.join(by_key(right), "key").withColumn("key", F.col("key.key")))
     # a segment that very many strings share says little: what stands beside it must be similar, too
-    again = lambda x: x.join(by_key(crowded), "key", "left_semi").select("id", "whole", F.col("left").alias("s"), "k", F.col("key").alias("bucket"))
+    again = lambda x: x.join(by_key(crowded), "key", "left_semi").select("id", "whole", F.col("left").alias("s"), "k", F.col("key").alias("bucket"), F.lit(True).alias("wide"))
     short = lambda x: x.filter(F.length("s") <= F.col("k"))
-    beside = _candidates(again(i), again(p), True, depth - 1, hot)
+    beside = _candidates(again(i), again(p), depth - 1, hot)
     rest = one(short(again(i)).withColumn("key", F.col("bucket")), "i").join(by_key(one(again(p).filter(F.length("s") <= 2 * F.col("k")).withColumn("key", F.col("bucket")), "p")), "key")
     return cold.unionByName(beside).unionByName(rest)
 
@@ -82,11 +82,10 @@ def similar(index: DataFrame, probe: DataFrame | None = None, hot: int = HOT, de
     joined in the same way, down to `depth` levels; on the last one it is split over salts. All joins are by key: nothing is broadcast. Null strings match nothing.
     """
     self_join = probe is None
-    i = index.select("id", "s", "bucket", F.col("k").cast("int").alias("k"), F.col("s").alias("whole")).filter("s is not null")
-    p = i if self_join else probe.select("id", "s", "bucket", F.col("k").cast("int").alias("k"), F.col("s").alias("whole")).filter("s is not null")
-    i = i.withColumn("bucket", F.xxhash64("bucket", "k"))
-    p = p.withColumn("bucket", F.xxhash64("bucket", "k"))
-    c = _candidates(i, p, not self_join, depth, hot)
+    own = lambda x: x.select("id", "s", F.xxhash64("bucket", F.col("k").cast("int")).alias("bucket"), F.col("k").cast("int").alias("k"), F.col("s").alias("whole"), (F.col("wide") if "wide" in x.columns else F.lit(not self_join)).alias("wide")).filter("s is not null")
+    i = own(index)
+    p = i if self_join else own(probe)
+    c = _candidates(i.drop("wide"), p, depth, hot)
     differ = F.col("iid") != F.col("pid")
     if self_join:
         differ &= (F.length("is") < F.length("ps")) | (F.length("is") == F.length("ps")) & (F.col("iid") < F.col("pid"))

@@ -16,7 +16,7 @@ from recordweave.operators.components import components
 from recordweave.runtime import by_key, cut, identity, spread
 
 START = re.compile(r"[^aeiou]*[aeiou][^aeiou]*[aeiou]")
-FORMS = "array<struct<role:string,kind:string,s:string,k:int>>"
+FORMS = "array<struct<role:string,kind:string,s:string,k:int,wide:boolean>>"
 
 
 def start(word: str) -> str:
@@ -41,8 +41,8 @@ def tidy(words: list[str]) -> list[str]:
     return [w for w in words if len(w) > 1] if sum(len(w) > 1 for w in words) > 1 else words
 
 
-def forms(words: list[str]) -> list[tuple[str, str, str, int]]:
-    """(role, kind, string, edits): what a name puts into the index and asks of it.
+def forms(words: list[str]) -> list[tuple[str, str, str, int, bool]]:
+    """(role, kind, string, edits, wide): what a name puts into the index and asks of it; wide: longer strings, too, as the string isn't in the index itself.
 
     Kinds: F full words, C their consonants (swapped letters and wrong vowels leave them as they are), T first word cut to
     its start, I to its initial. Only names with two words stand for the cut ones.
@@ -53,22 +53,22 @@ def forms(words: list[str]) -> list[tuple[str, str, str, int]]:
     if len(long) >= 2:
         whole = "".join(long)
         orders = {whole, "".join(reversed(long))} | ({a + b for a, b in zip(long, long[1:])} if len(long) > 2 else set())
-        out += [("i", "F", whole, e) for e in {1, 2}] + [("p", "F", s, k(s, 2)) for s in orders]
-        out += [("i", "C", bones(whole), 1)] + [("p", "C", b, 1) for b in {bones(s) for s in orders} if len(b) > 3]
+        out += [("i", "F", whole, e, False) for e in (1, 2)] + [("p", "F", s, k(s, 2), s != whole) for s in orders]
+        out += [("i", "C", bones(whole), 1, False)] + [("p", "C", b, 1, b != bones(whole)) for b in {bones(s) for s in orders} if len(b) > 3]
         for a, b in zip(long, long[1:], strict=False):
             if start(a) != a:
-                out.append(("i", "T", start(a) + b, 1))
-            out.append(("i", "I", a[0] + b, 1))
+                out.append(("i", "T", start(a) + b, 1, False))
+            out.append(("i", "I", a[0] + b, 1, False))
         for a, b in [*zip(long, long[1:], strict=False), *zip(long[1:], long, strict=False)]:
             if len(a) <= 6 and (start(a) == a or len(a) <= 5):
-                out.append(("p", "T", a + b, 1))
+                out.append(("p", "T", a + b, 1, True))
     elif long:
         letter = [w for w in words if len(w) == 1]
         if letter:
-            out.append(("p", "I", letter[0] + long[0], 1))
+            out.append(("p", "I", letter[0] + long[0], 1, True))
         else:
-            out += [("i", "F", long[0], e) for e in {1, 2}] + [("p", "F", long[0], k(long[0], 2)), ("p", "T", long[0], 1), ("p", "I", long[0], 1)]
-            out += [("i", "C", bones(long[0]), 1), ("p", "C", bones(long[0]), 1)] if len(bones(long[0])) > 3 else []
+            out += [("i", "F", long[0], e, False) for e in (1, 2)] + [("p", "F", long[0], k(long[0], 2), False), ("p", "T", long[0], 1, True), ("p", "I", long[0], 1, True)]
+            out += [("i", "C", bones(long[0]), 1, False), ("p", "C", bones(long[0]), 1, False)] if len(bones(long[0])) > 3 else []
     return out
 
 
@@ -86,7 +86,7 @@ def read(name: str) -> tuple[list[str], list[str], list[str]]:
 
 
 def parse(names: DataFrame) -> DataFrame:
-    """(name, node, words, typed, given, forms) of distinct names; node is the same for equal proper words and given names."""
+    """(name, key, words, typed, given, forms) of distinct names; key is the same for equal proper words and given names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -94,12 +94,13 @@ def parse(names: DataFrame) -> DataFrame:
             for n in b.name:
                 words, typed, whom = read(n)
                 f = forms(words) if typed == words else sorted({*forms(words), *forms(typed)})
-                rows.append((n, "|".join(" ".join(x) for x in (words, typed, whom)), words, typed, whom, f))
+                key = "|".join(" ".join(x) for x in (words, typed, whom)) if words else f"||{n}"
+                rows.append((n, key, words, typed, whom, f))
             if rows:
-                yield pd.DataFrame(rows, columns=["name", "key", "words", "typed", "given", "forms"])
+                yield pd.DataFrame(rows, columns=["name", "text", "words", "typed", "given", "forms"])
 
-    p = names.mapInPandas(run, f"name string, key string, words array<string>, typed array<string>, given array<string>, forms {FORMS}")
-    return p.withColumn("node", identity("key"))
+    p = names.mapInPandas(run, f"name string, text string, words array<string>, typed array<string>, given array<string>, forms {FORMS}")
+    return p.withColumn("key", identity("text")).drop("text")
 
 
 def _agree(kind: pd.Series, a: pd.Series, b: pd.Series, ta: pd.Series, tb: pd.Series) -> pd.Series:
@@ -120,9 +121,10 @@ def classes(names: DataFrame) -> DataFrame:
     equally well, and none has two thirds of their names, the name stays apart.
     """
     parsed = cut(parse(spread(names.select("name").filter("trim(name) != ''").distinct(), "name")))
-    nodes = parsed.groupBy("node").agg(F.first("words").alias("words"), F.first("typed").alias("typed"), F.first("given").alias("given"), F.first("forms").alias("forms"))
+    # written once, so that a retried task can't number the nodes anew
+    nodes = parsed.groupBy("key").agg(F.first("words").alias("words"), F.first("typed").alias("typed"), F.first("given").alias("given"), F.first("forms").alias("forms"), F.count(F.lit(1)).alias("names")).withColumn("node", F.monotonically_increasing_id())
     nodes = cut(nodes)
-    f = nodes.select("node", F.explode("forms").alias("f")).select(F.struct("f.kind", "node").alias("id"), F.col("f.s").alias("s"), F.col("f.kind").alias("bucket"), F.col("f.k").alias("k"), F.col("f.role").alias("role"))
+    f = nodes.select("node", F.explode("forms").alias("f")).select(F.struct("f.kind", "node").alias("id"), F.col("f.s").alias("s"), F.col("f.kind").alias("bucket"), F.col("f.k").alias("k"), F.col("f.wide").alias("wide"), F.col("f.role").alias("role"))
     pairs = similar(f.filter("role = 'i'"), f.filter("role = 'p'")).select(F.col("a.kind").alias("kind"), F.col("a.node").alias("a"), F.col("b.node").alias("b"), "distance").filter("a != b")
     about = nodes.select("node", "words", "typed", "given")
     side = lambda x: by_key(about.select(F.col("node").alias(x), F.col("words").alias(f"w{x}"), F.col("typed").alias(f"t{x}"), F.col("given").alias(f"g{x}")))
@@ -132,19 +134,20 @@ def classes(names: DataFrame) -> DataFrame:
     full = lambda c: F.size(F.filter(c, lambda w: F.length(w) > 1)) > 1
     links = cut(j.select("kind", "a", "b", "distance", full("wa").alias("fa"), full("wb").alias("fb")))
     first = components(links.filter("kind in ('F', 'C') and fa and fb"))
-    base = nodes.select("node").join(by_key(first), "node", "left").select("node", F.coalesce("component", "node").alias("c0"))
-    hub = base.withColumnsRenamed({"node": "a", "c0": "ca"})
-    own = base.withColumnsRenamed({"node": "b", "c0": "cb"})
-    fits = links.filter("fa and (kind in ('T', 'I') or not fb)").join(by_key(hub), "a").join(by_key(own), "b").filter("ca != cb")
+    base = nodes.select("node", "names").join(by_key(first), "node", "left").select("node", "names", F.coalesce("component", "node").alias("c0"))
+    hub = base.select(F.col("node").alias("a"), F.col("c0").alias("ca"))
+    own = base.select(F.col("node").alias("b"), F.col("c0").alias("cb"))
+    turned = links.filter("kind in ('F', 'C') and fb and not fa").select("kind", F.col("b").alias("a"), F.col("a").alias("b"), "distance", F.col("fb").alias("fa"), F.col("fa").alias("fb"))
+    fits = links.unionByName(turned).filter("fa and (kind in ('T', 'I') or not fb)").join(by_key(hub), "a").join(by_key(own), "b").filter("ca != cb")
     fits = fits.groupBy("b", "cb", "ca").agg(F.min(F.struct(F.when(F.col("kind").isin("F", "C"), 0).otherwise(1).alias("o"), "distance")).alias("how"))
-    sizes = parsed.groupBy("node").count().join(by_key(base), "node").groupBy(F.col("c0").alias("ca")).agg(F.sum("count").alias("names"))
+    sizes = base.groupBy(F.col("c0").alias("ca")).agg(F.sum("names").alias("names"))
     w = Window.partitionBy("b")
     best = fits.join(by_key(sizes), "ca").withColumn("best", F.min("how").over(w)).filter("how = best")
     best = best.withColumn("most", F.max("names").over(w)).withColumn("all", F.sum("names").over(w)).filter("names = most and 3 * most > 2 * all")
     second = components(best.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     final = base.join(by_key(second.withColumnRenamed("node", "c0")), "c0", "left").select("node", F.coalesce("component", "c0").alias("class"))
-    named = parsed.select("name", F.when(F.size("words") == 0, identity(F.lit("name"), "name")).otherwise(F.col("node")).alias("node"))
-    return named.join(by_key(final), "node", "left").select("name", F.coalesce("class", "node").alias("class"))
+    keyed = nodes.select("key", "node").join(by_key(final), "node").select("key", "class")
+    return parsed.join(by_key(keyed), "key").select("name", "class")
 
 
 def members(records: DataFrame, record: str = "entity_id", name: str = "business_name") -> DataFrame:
