@@ -318,3 +318,29 @@ def covered(tokens: Column, flags: Column, weights: Column) -> list[Column]:
     missed = F.filter(each, lambda x: ~x["f"])
     there = F.size(tokens) > 0
     return [F.when(there & (total > 0), found / total), F.when(there, F.coalesce(F.array_max(F.transform(missed, lambda x: x["w"])), F.lit(0.0))), F.when(there, F.size(missed).cast("double"))]
+
+
+# ---- the same in SQL, for checks
+
+
+def sql_lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two columns: rows of the table, one letter of b after the other, folded by list_reduce."""
+    marks = f"list_transform(string_split({b}, ''), lambda c: list_transform(string_split({a}, ''), lambda x: (x = c)::integer))"
+    step = f"list_transform(range(1, length({a}) + 2), lambda j: greatest(row_[j], coalesce(list_max(list_transform(range(1, j), lambda i: case when m[i] = 1 then row_[i] + 1 else 0 end)), 0))::integer)"
+    first = f"[list_transform(range(length({a}) + 1), lambda i: 0::integer)]"
+    return f"case when {a} = '' or {b} = '' then 0 else list_reduce(list_concat({first}, {marks}), lambda row_, m: {step})[-1] end"
+
+
+def sql_indel(a: str, b: str) -> str:
+    return f"case when length({a}) + length({b}) = 0 then 1.0 else 2.0 * ({sql_lcs(a, b)}) / (length({a}) + length({b})) end"
+
+
+def sql_token_sets(name: str, source: str, a: str, b: str) -> str:
+    """CTE NAME(all columns of source, tset): the token set ratio of its columns a and b."""
+    words = lambda c: f"list_sort(list_distinct(list_filter(string_split({c}, ' '), lambda t: t != '')))"
+    less = lambda x, y: f"array_to_string(list_sort(list_filter({x}, lambda t: not list_contains({y}, t))), ' ')"
+    return f"""{name}_w as (select *, {words(a)} as _x, {words(b)} as _y from {source}),
+{name}_s as (select *, array_to_string(list_sort(list_filter(_x, lambda t: list_contains(_y, t))), ' ') as _c, {less('_x', '_y')} as _l, {less('_y', '_x')} as _r from {name}_w),
+{name}_j as (select *, trim(_c || ' ' || _l) as _p, trim(_c || ' ' || _r) as _q from {name}_s),
+{name} as (select * exclude (_x, _y, _c, _l, _r, _p, _q), case when len(_x) = 0 or len(_y) = 0 then 0.0 when _c != '' and (_l = '' or _r = '') then 1.0
+when _c = '' then {sql_indel('_p', '_q')} else greatest({sql_indel('_p', '_q')}, {sql_indel('_c', '_p')}, {sql_indel('_c', '_q')}) end as tset from {name}_j)"""

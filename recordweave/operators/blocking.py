@@ -143,21 +143,32 @@ def sibling_pairs(anchors: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 
 def report(candidates: DataFrame, truth: DataFrame, records: DataFrame, ranks: dict[str, str], ks=(1, 3, 5, 10, 20)) -> DataFrame:
-    """(metric, value): recall of all candidates and of each pass at k, candidates per source1 record, reduction ratio in countries."""
+    """(metric, value): recall of all candidates and of each pass at k, candidates per source1 record, reduction ratio within countries and overall."""
     y = truth.select("s1", "r").withColumn("_y", F.lit(1))
     c = candidates.join(y, ["s1", "r"], "left")
     n_true = F.lit(float(max(1, truth.count())))
     sizes = records.groupBy("country").agg(F.sum((F.col("src") == 1).cast("long")).alias("a"), F.sum((F.col("src") != 1).cast("long")).alias("b"))
-    full, n1 = sizes.agg(F.sum(F.col("a") * F.col("b")), F.sum("a")).first()
-    aggs = [(F.sum("_y") / n_true).alias("recall"), (F.count(F.lit(1)) / F.lit(float(max(1, n1 or 0)))).alias("per_s1"), (1 - F.count(F.lit(1)) / F.lit(float(max(1, full or 0)))).alias("reduction")]
+    full, n1, n2 = sizes.agg(F.sum(F.col("a") * F.col("b")), F.sum("a"), F.sum("b")).first()
+    aggs = [(F.sum("_y") / n_true).alias("recall"), (F.count(F.lit(1)) / F.lit(float(max(1, n1 or 0)))).alias("per_s1"), (1 - F.count(F.lit(1)) / F.lit(float(max(1, full or 0)))).alias("reduction"), (1 - F.count(F.lit(1)) / F.lit(float(max(1, (n1 or 0) * (n2 or 0))))).alias("reduction_full")]
     aggs += [(F.coalesce(F.sum(F.when(F.col(col) < k, F.col("_y"))), F.lit(0)) / n_true).alias(f"{name}_at_{k}") for name, col in ranks.items() for k in ks]
     one = c.agg(*aggs)
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.round(F.coalesce(n, F.lit(0.0)), 6).alias("value")) for n in one.columns])).alias("m")).select("m.*")
 
 
-def category(tset: Column, addr: Column, raw: Column, same_postal: Column) -> Column:
-    """Why a pair is hard, first reason first: no address, another script, names apart, postal codes apart, else other."""
-    return F.when(addr == "", "empty_address").when(raw.rlike("[^\\u0000-\\u024F]"), "other_script").when(tset < 0.7, "names_apart").when(~F.coalesce(same_postal, F.lit(True)), "postal_apart").otherwise("other")
+def category(name_ratio: Column, no_address: Column, foreign: Column, same_postal: Column) -> Column:
+    """Why a pair is hard, first reason first: no address on a side, another script, names apart, postal codes apart, else other."""
+    return F.when(no_address, "empty_address").when(foreign, "other_script").when(name_ratio < 0.7, "names_apart").when(~F.coalesce(same_postal, F.lit(True)), "postal_apart").otherwise("other")
+
+
+def gain(found: DataFrame, known: DataFrame, truth: DataFrame, n_queries: int) -> DataFrame:
+    """(recall, gain, per_s1): share of the truth among known pairs, what the new pairs of found add to it, and how many new pairs a query costs."""
+    on = ["s1", "r"]
+    new = new_pairs(found, known)
+    t = truth.select(*on).distinct()
+    hit = lambda x: t.join(by_key(x.select(*on).distinct()), on, "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    j = hit(known).select(F.col("n").alias("a")).join(hit(new).select(F.col("n").alias("b")), F.lit(True)).join(t.agg(F.count(F.lit(1)).alias("t")), F.lit(True)).join(new.agg(F.count(F.lit(1)).alias("c")), F.lit(True))
+    all_ = F.greatest(F.col("t"), F.lit(1))
+    return j.select(F.round(F.col("a") / all_, 6).alias("recall"), F.round(F.col("b") / all_, 6).alias("gain"), F.round(F.col("c") / F.lit(float(max(1, n_queries))), 6).alias("per_s1"))
 
 
 def anchors(pairs: DataFrame, p: str, n: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordweave.runtime import cut, parallelism
+from recordweave.runtime import by_key, cut, parallelism
 
 
 def add_context(pairs: DataFrame, score: str, query: list[str], record: list[str], prefix: str = "ctx") -> DataFrame:
@@ -90,28 +90,55 @@ def _value_agreement(x: DataFrame, query: str, value: str, p: str, there: Column
     return k.drop("_salts").join(a, [query, value], "left")
 
 
-def siblings(pairs: DataFrame, records: DataFrame, query: str, record: str, p: str, least: float = 0.5, block: int = 256) -> DataFrame:
+def siblings(pairs: DataFrame, records: DataFrame, query: str, record: str, p: str, least: float = 0.5, block: int = 256, queries: DataFrame | None = None, ratio: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(query, record, sib_n, sib_pmass, and agreement with ALL the query's OTHER candidates of p >= least).
 
-    records has record, core and nums (array). Name agreement is the edit ratio of cores, number agreement the shared share
-    of number sets: maximum, p-weighted mean and share of equal sets; null without siblings or where a side is empty.
-    Siblings are grouped by their distinct core and number set, so a query costs a row a pair of distinct values, not of
-    candidates; a candidate's own part is taken out of its value's count and weight.
+    records has record, core, addr and nums (array), queries (if given) query and nums. Agreement of names and addresses is
+    ratio (by default the edit ratio), that of number sets their shared share: maximum, p-weighted mean and share of equal
+    sets; null without siblings or where a side is empty. sib_num_supported: whether the query's own numbers and the
+    candidate's meet, where it has siblings and both have numbers. Siblings are grouped by their distinct core, address and
+    number set, so a query costs a row a pair of distinct values, not of candidates; a candidate's own part is taken out of
+    its value's count and weight.
     """
     from recordweave.functions.strings import edit_ratio, set_jaccard
 
-    info = records.select(record, F.col("core").alias("_core"), F.array_sort(F.array_distinct("nums")).alias("_nums"))
+    ratio = ratio or edit_ratio
+    info = records.select(record, F.col("core").alias("_core"), F.col("addr").alias("_addr"), F.array_sort(F.array_distinct("nums")).alias("_nums"))
     w = Window.partitionBy(query)
-    x = cut(pairs.select(query, record, p).join(info, record, "left").withColumn("_sib", F.col(p) >= least))
+    x = cut(pairs.select(query, record, p).join(by_key(info), record, "left").withColumn("_sib", F.col(p) >= least))
     mass = F.when(F.col("_sib"), F.col(p)).otherwise(0.0)
     n = F.sum(F.col("_sib").cast("long")).over(w) - F.col("_sib").cast("long")
     out = x.withColumns({"sib_n": n, "sib_pmass": F.when(n > 0, F.sum(mass).over(w) - mass)})
-    for value, there, ratio, name in (("_core", F.col("_core") != "", edit_ratio, "name"), ("_nums", F.size("_nums") > 0, set_jaccard, "num")):
-        out = out.join(_value_agreement(x, query, value, p, there, ratio, block), [query, value], "left")
+    parts = (("_core", F.col("_core") != "", ratio, "name"), ("_addr", F.col("_addr") != "", ratio, "addr"), ("_nums", F.size("_nums") > 0, set_jaccard, "num_jacc"))
+    for value, there, agree, name in parts:
+        out = out.join(by_key(_value_agreement(x, query, value, p, there, agree, block)), [query, value], "left")
         own = F.col("_sib").cast("long")
         same, others = F.col("_n") - own, F.col("_all_n") - own
         same_w = F.when(same > 0, F.col("_w") - mass).otherwise(0.0)
         out = out.withColumns({
-            f"sib_{name}_max": F.when(same > 0, F.lit(1.0)).otherwise(F.col("_best")), f"sib_{name}_wmean": F.when(others > 0, (F.coalesce("_sum", F.lit(0.0)) + same_w) / (F.col("_all_w") - mass)), f"sib_{name}_eq_frac": F.when(others > 0, same / others),
+            f"sib_{name}_max": F.when(same > 0, F.lit(1.0)).otherwise(F.col("_best")), f"sib_{name}_wmean": F.when(others > 0, (F.coalesce("_sum", F.lit(0.0)) + same_w) / (F.col("_all_w") - mass)), f"_eq_{name}": F.when(others > 0, same / others),
         }).drop("_n", "_w", "_all_n", "_all_w", "_best", "_sum")
-    return out.select(query, record, "sib_n", "sib_pmass", "sib_name_max", "sib_name_wmean", "sib_num_max", "sib_num_wmean", "sib_num_eq_frac")
+    out = out.withColumnRenamed("_eq_num_jacc", "sib_num_eq_frac")
+    if queries is None:
+        queries = pairs.select(query).distinct().withColumn("nums", F.array().cast("array<string>"))
+    out = out.join(by_key(queries.select(query, F.col("nums").alias("_own"))), query, "left")
+    met = F.when((F.col("sib_n") > 0) & (F.size("_nums") > 0) & (F.size("_own") > 0), F.arrays_overlap("_nums", "_own").cast("double"))
+    return out.select(query, record, *SIBLING[:-1], met.alias(SIBLING[-1]))
+
+
+SIBLING = ["sib_n", "sib_pmass", "sib_name_max", "sib_name_wmean", "sib_addr_max", "sib_addr_wmean", "sib_num_jacc_max", "sib_num_jacc_wmean", "sib_num_eq_frac", "sib_num_supported"]
+
+
+def matched_context(pairs: DataFrame, score: str, record: list[str], drawn: str) -> DataFrame:
+    """pairs with m_rank, m_gap and m_n among the record's drawn pairs; a pair itself always counts."""
+    x = sampled_competition(pairs, score, record, drawn)
+    own = F.coalesce(F.nanvl(F.col(score), F.lit(-1.0)), F.lit(-1.0))
+    return x.select(*pairs.columns, F.col("rank").alias("m_rank"), (F.greatest(own, F.coalesce("max_other", own)) - own).alias("m_gap"), (F.col("n_other") + 1).alias("m_n"))
+
+
+def matched_competition(pairs: DataFrame, p: str, record: list[str], drawn: str) -> DataFrame:
+    """pairs with max, gap, rank, number above one half, sum and best other of p among the record's drawn pairs; a pair itself always counts."""
+    x = sampled_competition(pairs, p, record, drawn, 0.0)
+    own, other = F.coalesce(F.nanvl(F.col(p), F.lit(0.0)), F.lit(0.0)), F.coalesce("max_other", F.lit(0.0))
+    best = F.greatest(own, other)
+    return x.select(*pairs.columns, best.alias("m_max"), (best - own).alias("m_gap"), F.col("rank").alias("m_rank"), (F.col("hi_other") + (own > 0.5).cast("int")).alias("m_n_hi"), (F.col("sum_other") + own).alias("m_sum"), other.alias("m_best_other"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordweave.operators.positions import running_sum
+from recordweave.runtime import by_key, cut, parallelism
 
 
 def compress(df: DataFrame, key: list[str], value: str, weight: str = "weight") -> DataFrame:
@@ -47,11 +48,13 @@ def percentiles(df: DataFrame, key: list[str], value: str, probs: dict[str, floa
     Weighted values are cumulated over a global sort, so no task holds a whole key. Null values don't count; a key without
     values has no row. probs: output name to probability in (0, 1].
     """
-    c = compress(df.select(*key, F.col(value).alias("_value")).filter("_value is not null"), key, "_value", "_n")
+    c = cut(compress(df.select(*key, F.col(value).alias("_value")).filter("_value is not null"), key, "_value", "_n"))
     run = running_sum(c, key, [F.col("_value")], "_n", "_upto")
-    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
-    totals = c.groupBy(*named).agg(F.sum("_n").alias("_all"))
-    j = run.join(totals, [run[k].eqNullSafe(totals[f"_k{i}"]) for i, k in enumerate(key)])
+    # totals have a row a key: they go to every salt, so that the values of a hot key meet theirs in many tasks
+    salts = parallelism(df.sparkSession)
+    totals = c.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.sum("_n").alias("_all")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    run = run.withColumn("_salt", F.pmod(F.xxhash64("_value"), F.lit(salts)).cast("int"))
+    j = run.join(by_key(totals), [run["_salt"] == totals["_s"], *[run[k].eqNullSafe(totals[f"_k{i}"]) for i, k in enumerate(key)]])
     return j.groupBy(*key).agg(*[F.min(F.when(F.col("_upto") >= F.ceil(F.lit(p) * F.col("_all")), F.col("_value"))).alias(name) for name, p in probs.items()])
 
 

@@ -7,9 +7,10 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordweave.runtime import cut
 from recordweave.sources.files import uniform
 
 MISSING = -1.0
@@ -38,31 +39,79 @@ def predict(model: GBTClassificationModel | PipelineModel, df: DataFrame, out: s
     return x.withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def out_of_fold(df: DataFrame, features: list[str], group: str, n: int = 3, out: str = "p", **kw) -> tuple[DataFrame, list]:
-    """(df with out-of-fold probabilities, the fold models). Each row is scored by the model that didn't see its group."""
-    x = assembled(df.withColumn("fold", fold(F.col(group), n)), features)
+def out_of_fold(df: DataFrame, features: list[str], group: str, n: int = 5, out: str = "p", train: Column | None = None, **kw) -> tuple[DataFrame, list]:
+    """(df with fold and out-of-fold probabilities, the fold models). Each row is scored by the model that didn't see its group.
+
+    A fold's training stops early on the fold it leaves out. train: the rows to learn and stop on; all rows are scored.
+    """
+    x = cut(assembled(df.withColumn("fold", fold(F.col(group), n)), features))
+    use = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
     models, parts = [], None
     for k in range(n):
-        m = classifier(**kw).fit(x.filter(F.col("fold") != k))
+        m = classifier(**kw, validation="_held").fit(x.filter(use).withColumn("_held", F.col("fold") == k))
         models.append(m)
         p = predict(m, x.filter(F.col("fold") == k), out)
         parts = p if parts is None else parts.unionByName(p)
     return parts.drop("features"), models
 
 
-def shift(df: DataFrame, features: list[str], label: str, out: str = "p", **kw) -> DataFrame:
-    """(held_out, n, auc): a model of all other labels' rows, scored on each label; null auc without both classes on both sides.
+def refit(df: DataFrame, features: list[str], models: list, train: Column | None = None, **kw) -> GBTClassificationModel:
+    """A model of all rows, with as many trees as the fold models kept on average."""
+    kw |= {"trees": max(1, round(sum(m.getNumTrees for m in models) / max(1, len(models))))}
+    x = assembled(df if train is None else df.filter(train), features)
+    return classifier(**kw).fit(x)
+
+
+def by_fold(df: DataFrame, models: list, features: list[str], out: str = "p") -> DataFrame:
+    """df (with fold) scored by the model that left its fold out."""
+    x, parts = assembled(df, features), None
+    for k, m in enumerate(models):
+        p = predict(m, x.filter(F.col("fold") == k), out)
+        parts = p if parts is None else parts.unionByName(p)
+    return parts.drop("features")
+
+
+def score_live(df: DataFrame, model: GBTClassificationModel, features: list[str], live: Column, old: str, out: str = "p") -> DataFrame:
+    """df with out: the model's probability of live rows, the column old of the others, which aren't scored."""
+    there = F.coalesce(live, F.lit(False))
+    scored = predict(model, assembled(df.filter(there), features), out).drop("features")
+    return scored.unionByName(df.filter(~there).withColumn(out, F.col(old)))
+
+
+def save(model: GBTClassificationModel, features: list[str], path: str) -> None:
+    """The model and the order of its features, in a folder."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame(list(enumerate(features)), "place int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load(path: str) -> tuple[GBTClassificationModel, list[str]]:
+    """A saved model and its features. Raises ValueError where their numbers differ."""
+    names = [r.feature for r in SparkSession.active().read.parquet(f"{path}/features").orderBy("place").collect()]
+    model = GBTClassificationModel.load(f"{path}/model")
+    if model.numFeatures != len(names):
+        raise ValueError(f"the model has {model.numFeatures} features, its list {len(names)}")
+    return model, names
+
+
+def shift(df: DataFrame, features: list[str], label: str, out: str = "p", **kw) -> tuple[DataFrame, DataFrame | None]:
+    """((held_out, n, auc), the held-out rows' scores): a model of all other labels' rows, scored on each label; null auc without both classes on both sides.
 
     One model a label, so the cost grows with the number of labels that have both classes.
     """
-    x = assembled(df, features)
+    x = cut(assembled(df, features))
     kinds = x.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min("y").alias("a"), F.max("y").alias("b"), F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).collect()
-    rows = []
+    rows, parts = [], None
     for k, a, b, n in kinds:
         train = x.filter((F.col(label) != k) | F.col(label).isNull())
-        able = a < b and train.select("y").distinct().count() == 2
-        rows.append((k, n, float(auc(classifier(**kw).fit(train).transform(x.filter(F.col(label) == k)))) if able else None))
-    return df.sparkSession.createDataFrame(rows, "held_out string, n long, auc double")
+        value = None
+        if a < b and train.select("y").distinct().count() == 2:
+            scored = classifier(**kw).fit(train).transform(x.filter(F.col(label) == k))
+            value = float(auc(scored))
+            p = scored.withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+            parts = p if parts is None else parts.unionByName(p)
+        rows.append((k, n, value))
+    return df.sparkSession.createDataFrame(rows, "held_out string, n long, auc double"), parts
 
 
 def auc(scored: DataFrame) -> float:

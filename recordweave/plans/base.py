@@ -22,14 +22,16 @@ def normalised(texts: DataFrame) -> DataFrame:
 
     Brahmic scripts are romanised first; the name is that of all its parts, an added trade name's as well.
     """
-    out = texts.withColumns({"variants": F.array_join(X.name_variants(F.col("business_name")), "|"), "addr": X.clean_address(F.col("business_address"))}).drop("business_name", "business_address")
+    out = texts.withColumns({"foreign": F.coalesce(F.col("business_name"), F.lit("")).rlike("[^\\u0000-\\u024f]").cast("int"), "variants": F.array_join(X.name_variants(F.col("business_name")), "|"), "addr": X.clean_address(F.col("business_address"))}).drop("business_name", "business_address")
     out = out.withColumn("name", F.replace("variants", F.lit("|"), F.lit(" ")))
     out = out.withColumns({"core": X.core_of(F.col("name")), "postal": X.postal(F.col("addr")), "nums": F.array_join(X.numbers(F.col("addr")), " ")})
     return out.withColumn("phon", X.phonetic(F.col("core")))
 
 
 def records(spark: SparkSession, d: str, split: str | None = None) -> DataFrame:
-    """(src, id, pos, split, country, name, variants, core, addr, postal, nums, phon): one row per record of the three sources, normalised.
+    """(src, id, pos, split, country, foreign, name, variants, core, addr, postal, nums, phon): one row per record of the three sources, normalised.
+
+    foreign: 1 where the name as written has a letter beyond the Latin blocks.
 
     Written once per session to the shared folder and read from there by every query; again when the input files change.
     """
@@ -42,7 +44,7 @@ SQL = f"""with raw as (select distinct 1 as src, entity_id as id, pos, split, bu
  union all select distinct 3, entity_id, pos, split, business_name, business_address, coalesce(country, '') from source3),
 nm_d as (select distinct business_name as raw from raw), {X.sql_name_ctes("nm_d")},
 ad_d as (select distinct business_address as raw from raw), {X.sql_address_ctes("ad_d")},
-n1 as (select src, id, pos, split, country, name, variants, addr from raw join named on business_name is not distinct from named.raw join placed on business_address is not distinct from placed.raw),
+n1 as (select src, id, pos, split, country, regexp_matches(coalesce(business_name, ''), '[^\\x{{0000}}-\\x{{024F}}]')::integer as foreign_, name, variants, addr from raw join named on business_name is not distinct from named.raw join placed on business_address is not distinct from placed.raw),
 n2 as (select *, {X.sql_core("name")} as core, {X.sql_postal("addr")} as postal, array_to_string({X.sql_numbers("addr")}, ' ') as nums from n1),
 rec as materialized (select *, {X.sql_phonetic("core")} as phon from n2)"""
 

@@ -87,6 +87,37 @@ def pass_sibling(spark, d):
     return B.new_pairs(B.sibling_pairs(a, B.neighbours(r, a)), found)
 
 
+def _expansions(spark, d, split):
+    r, found = base.records(spark, d, split), round1(spark, d, split)
+    key = F.when(F.col("phon") != "", F.array(F.concat_ws("|", "country", "phon"))).otherwise(F.array().cast("array<string>"))
+    a = cut(B.anchors(found.filter("rank_na < 255"), "sim_na"))
+    return r, found, {"postal_num": B.shared_keys(r, B.postal_number_key(), 20), "rare_token": B.rarest_token(r, 20), "phonetic_key": B.shared_keys(r, key, 100), "empty_addr": B.empty_address_pairs(r).select("s1", "src", "r"), "sibling": B.sibling_pairs(a, B.neighbours(r, a))}
+
+
+def pass_gain(spark, d):
+    """What each expansion pass adds to the recall of the blocking passes on the train split, and its new pairs per source1 record."""
+    r, found, passes = _expansions(spark, d, "train")
+    known, truth, n = cut(found.select("s1", "src", "r")), cut(base.truth(spark, d)), r.filter("src = 1").count()
+    out = None
+    for name, x in passes.items():
+        g = B.gain(x, known, truth, n).select(F.lit(name).alias("pass"), "*")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def sibling_variants(spark, d):
+    """Gain and cost of sibling expansion for several numbers of anchors and neighbours, on the train split (a sweep, so without SQL)."""
+    r, found = base.records(spark, d, "train"), round1(spark, d, "train").filter("rank_na < 255")
+    known, truth, n, out = cut(found.select("s1", "src", "r")), cut(base.truth(spark, d)), r.filter("src = 1").count(), None
+    a = cut(B.anchors(found, "sim_na", 10))
+    near = cut(B.neighbours(r, a, 11))
+    for top in (3, 5, 10):
+        some = B.anchors(a.drop("_r"), "sim_na", top)
+        g = B.gain(B.sibling_pairs(some, near), known, truth, n).select(F.lit(top).alias("anchors"), F.lit(10).alias("neighbours"), "*")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
 def new_pairs_antijoin(spark, d):
     r = base.records(spark, d, "test")
     return B.new_pairs(B.rarest_token(r, 20), B.shared_keys(r, B.postal_number_key(), 20))
@@ -103,7 +134,7 @@ def label_pairs(spark, d):
 QUERIES = {
     n: globals()[n]
     for n in (
-        "tfidf_vocab char4_vocab tfidf_weights block_na_topk block_c4_topk block_ph_topk block_nm_topk block_rev_topk block_union_pivot block_report_recall pass_postal_num pass_phonetic_key pass_rare_token pass_empty_addr pass_sibling new_pairs_antijoin label_pairs"
+        "tfidf_vocab char4_vocab tfidf_weights block_na_topk block_c4_topk block_ph_topk block_nm_topk block_rev_topk block_union_pivot block_report_recall pass_postal_num pass_phonetic_key pass_rare_token pass_empty_addr pass_sibling pass_gain sibling_variants new_pairs_antijoin label_pairs"
     ).split()
 }
 
@@ -180,8 +211,8 @@ pf as (select distinct a.id as s1, b.src, b.id as r from kf a join ff using (key
 
 
 _RECALL = _sql_union("split = 'train'") + f""", {base.TRUTH}, tn as (select count(*)::double as n from tr), cy as (select un.*, case when tr.r is not null then 1 end as y from un left join tr using (s1, r)),
-sz as (select sum(a * b)::double as full_, sum(a)::double as n1 from (select country, count(*) filter (where src = 1) as a, count(*) filter (where src != 1) as b from rec where split = 'train' group by country)),
-ag as (select sum(y) / any_value(n) as recall, count(*) / any_value(n1) as per_s1, 1 - count(*) / any_value(full_) as reduction, {", ".join(f"coalesce(sum(case when rank_{p} < {k} then y end), 0) / any_value(n) as {p}_at_{k}" for p in ("na", "c4", "ph", "nm", "rev") for k in (1, 3, 5, 10, 20))} from cy, tn, sz)
+sz as (select sum(a * b)::double as full_, sum(a)::double as n1, sum(b)::double as n2 from (select country, count(*) filter (where src = 1) as a, count(*) filter (where src != 1) as b from rec where split = 'train' group by country)),
+ag as (select sum(y) / any_value(n) as recall, count(*) / any_value(n1) as per_s1, 1 - count(*) / any_value(full_) as reduction, 1 - count(*) / (any_value(n1) * any_value(n2)) as reduction_full, {", ".join(f"coalesce(sum(case when rank_{p} < {k} then y end), 0) / any_value(n) as {p}_at_{k}" for p in ("na", "c4", "ph", "nm", "rev") for k in (1, 3, 5, 10, 20))} from cy, tn, sz)
 select metric, round(value, 6) as value from (unpivot ag on columns(*) into name metric value value)"""
 ORACLE = {
     "tfidf_vocab": f"{base.SQL}, {_sql_weights('na', _TEST)} select term, df, round(idf, 6) as idf from vna",
@@ -202,6 +233,16 @@ an as (select s1, src, r from (select *, row_number() over (partition by s1 orde
 sb as (select a.src, a.id as r, b.src as src2, b.id as r2, round(sum(a.w * b.w), 6) as sim from wl a join wl b on a.term = b.term and a.pool = b.pool and (a.src, a.id) in (select src, r from an) group by all having round(sum(a.w * b.w), 6) > 0.000001),
 nb as (select * from (select *, row_number() over (partition by src, r order by sim desc, src2, r2) as k from sb) where k <= 11)
 select distinct s1, src2 as src, r2 as r from an join nb using (src, r) where not exists (select 1 from fna f where f.s1 = an.s1 and f.src = nb.src2 and f.r = nb.r2)""",
+    "pass_gain": f"""{_sql_union("split = 'train'")}, {base.TRUTH}, {_POSTAL.replace(_TEST, "split = 'train'")}, {_RARE.replace(_TEST, "split = 'train'")}, {_phon('train')},
+{_sql_label('e', 'core', "country != '' and (src = 1 or addr = '')", 'src = 1', 'train')}, se as (select a.id as s1, b.src, b.id as r, round(sum(a.w * b.w), 6) as sim from we a join we b on a.pool = b.pool and a.term = b.term and a.src = 1 and b.src != 1 group by all having round(sum(a.w * b.w), 6) > 0.000001),
+pe as (select s1, src, r from (select *, row_number() over (partition by r, src order by sim desc, s1) as k from se) where k <= 50),
+{_sql_label('l', "trim(core || ' ' || addr)", "country != '' and src != 1", 'true', 'train')}, an as (select s1, src, r from (select *, row_number() over (partition by s1 order by sim_na desc, src, r) as k from un where rank_na < 255) where k <= 5),
+sb as (select a.src, a.id as r, b.src as src2, b.id as r2, round(sum(a.w * b.w), 6) as sim from wl a join wl b on a.term = b.term and a.pool = b.pool and (a.src, a.id) in (select src, r from an) group by all having round(sum(a.w * b.w), 6) > 0.000001),
+nb as (select * from (select *, row_number() over (partition by src, r order by sim desc, src2, r2) as k from sb) where k <= 11),
+ep as (select 'postal_num' as pass, * from pp union all select 'rare_token', * from pr union all select 'phonetic_key', * from pf union all select 'empty_addr', * from pe union all select distinct 'sibling', s1, src2, r2 from an join nb using (src, r)),
+nw as (select distinct pass, s1, src, r from ep anti join un using (s1, src, r)), ht as (select pass, count(*) as b from (select distinct pass, s1, r from nw semi join tr using (s1, r)) group by pass),
+nn as (select pass, count(*) as c from nw group by pass), bb as (select (select count(*) from (select distinct s1, r from un semi join tr using (s1, r)))::double as a, (select count(*) from tr)::double as t, (select count(*) from rec where split = 'train' and src = 1)::double as n)
+select p.pass, round(a / t, 6) as recall, round(coalesce(b, 0) / t, 6) as gain, round(coalesce(c, 0) / n, 6) as per_s1 from (select unnest(['postal_num', 'rare_token', 'phonetic_key', 'empty_addr', 'sibling']) as pass) p left join ht using (pass) left join nn using (pass), bb""",
     "new_pairs_antijoin": f"{base.SQL}, {_POSTAL}, {_RARE} select * from pr except select * from pp",
     "label_pairs": f"{base.SQL}, {_phon('train')}, {base.TRUTH} select s1, src, r, (tr.r is not null)::integer as y from pf left join tr using (s1, r)",
 }

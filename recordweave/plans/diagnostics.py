@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from recordweave.functions.strings import edit_ratio
-from recordweave.functions.text import numbers
+from recordweave.functions import strings as S
 from recordweave.operators import blocking as B
+from recordweave.operators import pairs as P
 from recordweave.operators.model import fold
-from recordweave.plans import base, features
+from recordweave.plans import base
 from recordweave.plans.block import _RARE
 from recordweave.runtime import table
 from recordweave.sources.files import uniform
@@ -24,13 +25,17 @@ def diag_missingness(spark, d):
     )
 
 
+RATES = {"no_name": "name = ''", "no_addr": "addr = ''", "no_digits": "nums = ''", "no_postal": "postal = ''", "foreign_name": "{foreign} = 1"}
+
+
 def input_profile(spark, d):
-    """Shares per source and country of the train split beside the test split, and whether they differ twofold."""
-    r = base.records(spark, d).filter("src = 1 or src = 2 or src = 3")
-    a = r.groupBy("src", "country").pivot("split", ["train", "test"]).agg(F.count(F.lit(1)).alias("n"), rate(F.col("addr") == "").alias("no_addr"))
-    x, y = F.coalesce("train_no_addr", F.lit(0.0)), F.coalesce("test_no_addr", F.lit(0.0))
+    """Rates per source and country of the train split beside those of the test split, and which of them differ more than twofold."""
+    r = base.records(spark, d)
+    aggs = [F.count(F.lit(1)).alias("n"), *[rate(F.expr(c.format(foreign="foreign"))).alias(k) for k, c in RATES.items()]]
+    a = r.groupBy("src", "country").pivot("split", ["train", "test"]).agg(*aggs)
+    apart = lambda k: F.greatest(F.coalesce(f"train_{k}", F.lit(0.0)), F.coalesce(f"test_{k}", F.lit(0.0))) > 2 * F.least(F.coalesce(f"train_{k}", F.lit(0.0)), F.coalesce(f"test_{k}", F.lit(0.0)))
     z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return a.select("src", "country", z("train_n"), z("test_n"), "train_no_addr", "test_no_addr", (F.greatest(x, y) > 2 * F.least(x, y)).cast("int").alias("twofold"))
+    return a.select("src", "country", z("train_n"), z("test_n"), *[f"{s}_{k}" for k in RATES for s in ("train", "test")], *[apart(k).cast("int").alias(f"twofold_{k}") for k in RATES])
 
 
 def diag_list_sizes(spark, d):
@@ -51,21 +56,26 @@ def diag_truth(spark, d):
 
 
 def diag_crosstab(spark, d):
-    """Share of each reason why candidate pairs of the test split are hard, per country."""
-    p = features.pairs(spark, d)
-    k = B.category(edit_ratio(F.col("l_core"), F.col("r_core")), F.col("r_addr"), F.col("r_name"), F.when((F.col("l_postal") != "") & (F.col("r_postal") != ""), F.col("l_postal") == F.col("r_postal")))
-    c = p.groupBy(F.col("r_country").alias("country"), k.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    """Share of each reason why candidate pairs of the test split are hard, per country and over all (country *)."""
+    rec = base.records(spark, d, "test")
+    p = P.joined(B.rarest_token(rec, 20), rec, ["core", "addr", "postal", "country", "foreign"])
+    p = p.withColumn("t", S.score(["token_set_ratio"], F.col("l_core"), F.col("r_core"))["token_set_ratio"])
+    k = B.category(F.round("t", 6), (F.col("l_addr") == "") | (F.col("r_addr") == ""), F.col("r_foreign") == 1, F.when((F.col("l_postal") != "") & (F.col("r_postal") != ""), F.col("l_postal") == F.col("r_postal")))
+    c = p.groupBy(F.col("l_country").alias("country"), k.alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    c = c.unionByName(c.groupBy("category").agg(F.sum("n").alias("n")).withColumn("country", F.lit("*")))
     t = c.groupBy("country").agg(F.sum("n").alias("all"))
     return c.join(t, "country").select("country", "category", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
 
 
 def diag_competition(spark, d):
-    """Candidates per source1 record, source1 records per record, and exact quantiles of the best score."""
+    """Candidates per source1 record and source1 records per record, exact quantiles of the best score and of its lead, share of near ties."""
     s = base.scored(spark, d)
-    a = s.groupBy("s1_pos").agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("top"))
-    b = s.groupBy("src", "r_pos").agg(F.count(F.lit(1)).alias("n"))
-    q = a.agg(F.round(F.avg("n"), 6).alias("per_s1"), F.round(F.percentile("top", F.lit(0.5)), 6).alias("median_top"), rate(F.col("top") < 0.5).alias("low_top"))
-    return q.join(b.agg(F.round(F.avg("n"), 6).alias("per_record")), F.lit(True))
+    w = lambda *key: Window.partitionBy(*key).orderBy(F.col("p").desc())
+    two = lambda *key: s.withColumn("k", F.row_number().over(w(*key))).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("top"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("p"))), F.lit(0.0)).alias("second"))
+    a, b = two("s1_pos"), two("src", "r_pos")
+    q = a.agg(F.round(F.avg("n"), 6).alias("per_s1"), F.round(F.percentile("top", F.lit(0.5)), 6).alias("median_top"), rate(F.col("top") < 0.5).alias("low_top"), F.round(F.percentile(F.round(F.col("top") - F.col("second"), 6), F.lit(0.5)), 6).alias("median_gap"))
+    near = F.avg(F.when(F.col("top") >= 0.5, (F.round(F.col("top") - F.col("second"), 6) < 0.05).cast("double")))
+    return q.join(b.agg(F.round(F.avg("n"), 6).alias("per_record"), F.round(F.coalesce(near, F.lit(0.0)), 6).alias("near_ties")), F.lit(True))
 
 
 def diag_top_bands(spark, d):
@@ -108,17 +118,18 @@ QUERIES = {f.__name__: f for f in (diag_missingness, input_profile, diag_list_si
 
 _u = lambda x: f"('0x' || substr(md5({x}), 1, 8))::bigint / 4294967296.0"
 _SC = "with " + base.SCORED
-_EDIT = "case when greatest(length(a.core), length(b.core)) = 0 then 1 else 1 - levenshtein(a.core, b.core) / greatest(length(a.core), length(b.core))::double end"
 ORACLE = {
     "diag_missingness": base.SQL + " select src, split, count(*) as n, " + ", ".join(f"round(avg(({c})::integer::double), 6) as {n}" for c, n in (("name = ''", "no_name"), ("addr = ''", "no_addr"), ("country = ''", "no_country"), ("not regexp_matches(addr, '[0-9]')", "no_digits"), ("postal = ''", "no_postal"))) + " from rec group by all",
-    "input_profile": base.SQL
-    + """, pf as (select src, country, count(*) filter (where split = 'train') as train_n, count(*) filter (where split = 'test') as test_n, round(avg(case when split = 'train' then (addr = '')::integer::double end), 6) as train_no_addr, round(avg(case when split = 'test' then (addr = '')::integer::double end), 6) as test_no_addr from rec group by src, country)
-select *, (greatest(coalesce(train_no_addr, 0), coalesce(test_no_addr, 0)) > 2 * least(coalesce(train_no_addr, 0), coalesce(test_no_addr, 0)))::integer as twofold from pf""",
+    "input_profile": f"""{base.SQL}, pf as (select src, country, count(*) filter (where split = 'train') as train_n, count(*) filter (where split = 'test') as test_n, {", ".join(f"round(avg(case when split = '{s}' then ({c.format(foreign='foreign_')})::integer::double end), 6) as {s}_{k}" for k, c in RATES.items() for s in ("train", "test"))} from rec group by src, country)
+select *, {", ".join(f"(greatest(coalesce(train_{k}, 0), coalesce(test_{k}, 0)) > 2 * least(coalesce(train_{k}, 0), coalesce(test_{k}, 0)))::integer as twofold_{k}" for k in RATES)} from pf""",
     "diag_list_sizes": f"with {base.TRUTH}, s as (select distinct entity_id as s1 from source1 where split = 'train'), n as (select s1, count(*) as n from tr group by s1) select coalesce(n, 0)::bigint as n_matches, count(*) as n_s1 from s left join n using (s1) group by 1",
     "diag_truth": f"{base.SQL}, {base.TRUTH}, c as (select id, min(country) as c from rec where split = 'train' group by id), o as (select count(*) filter (where a.c != b.c) as n_other_country from tr join c a on a.id = s1 join c b on b.id = r) select count(*) as n_pairs, count(*) - count(distinct r) as n_shared, any_value(n_other_country) as n_other_country from tr, o",
-    "diag_crosstab": f"""{base.SQL}, {_RARE}, cc as (select b.country, case when b.addr = '' then 'empty_address' when regexp_matches(b.name, '[^\\x{{0000}}-\\x{{024F}}]') then 'other_script' when {_EDIT} < 0.7 then 'names_apart' when a.postal != '' and b.postal != '' and a.postal != b.postal then 'postal_apart' else 'other' end as category, count(*) as n
-from pr join rec a on a.src = 1 and a.id = s1 and a.split = 'test' join rec b on b.src = pr.src and b.id = r and b.split = 'test' group by all) select country, category, n, round(n::double / sum(n) over (partition by country), 6) as share from cc""",
-    "diag_competition": _SC + ", a as (select s1_pos, count(*) as n, max(p) as top from sc group by all), b as (select src, r_pos, count(*) as n from sc group by all), m as (select round(avg(n), 6) as per_record from b) select round(avg(n), 6) as per_s1, round(quantile_cont(top, 0.5), 6) as median_top, round(avg((top < 0.5)::integer::double), 6) as low_top, any_value(per_record) as per_record from a, m",
+    "diag_crosstab": f"""{base.SQL}, {_RARE}, cp as materialized (select a.core as a, b.core as b, a.addr as la, b.addr as ra, a.postal as lp, b.postal as rp, a.country, b.foreign_ from pr join rec a on a.src = 1 and a.id = s1 and a.split = 'test' join rec b on b.src = pr.src and b.id = r and b.split = 'test'),
+{S.sql_token_sets('ct', 'cp', 'a', 'b')}, cc as (select country, case when la = '' or ra = '' then 'empty_address' when foreign_ = 1 then 'other_script' when round(tset, 6) < 0.7 then 'names_apart' when lp != '' and rp != '' and lp != rp then 'postal_apart' else 'other' end as category, count(*) as n from ct group by all),
+cl as (select * from cc union all select '*', category, sum(n)::bigint from cc group by category) select country, category, n, round(n::double / sum(n) over (partition by country), 6) as share from cl""",
+    "diag_competition": _SC + """, k as (select *, row_number() over (partition by s1_pos order by p desc) as i, row_number() over (partition by src, r_pos order by p desc) as j from sc), a as (select s1_pos, count(*) as n, max(p) as top, coalesce(max(case when i = 2 then p end), 0) as second from k group by all),
+b as (select src, r_pos, count(*) as n, max(p) as top, coalesce(max(case when j = 2 then p end), 0) as second from k group by all), m as (select round(avg(n), 6) as per_record, round(coalesce(avg(case when top >= 0.5 then (round(top - second, 6) < 0.05)::integer::double end), 0), 6) as near_ties from b)
+select round(avg(n), 6) as per_s1, round(quantile_cont(top, 0.5), 6) as median_top, round(avg((top < 0.5)::integer::double), 6) as low_top, round(quantile_cont(round(top - second, 6), 0.5), 6) as median_gap, any_value(per_record) as per_record, any_value(near_ties) as near_ties from a, m""",
     "diag_top_bands": _SC + ", a as (select s1_pos, max(p) as top from sc group by all) select least(floor(top * 10), 9)::integer as band, count(*) as n_s1 from a group by 1",
     "train_sample_mask": _SC + f", c as (select *, (rank() over (partition by s1_pos, src order by p desc) <= 3 or rank() over (partition by src, r_pos order by p desc) <= 1)::integer as hard from sc) select s1_pos, src, r_pos, hard from c where hard = 1 or {_u("s1_pos || '|' || src || '|' || r_pos")} < 0.25",
     "nested_masks": f"select distinct entity_id, ({_u('entity_id')} < 0.15)::integer as small from source1 where {_u('entity_id')} < 0.4",

@@ -43,6 +43,16 @@ def feat_ratios(spark, d):
     )
 
 
+def feat_token_ratios(spark, d):
+    """The indel ratios of names and of their sorted tokens, sound keys and words run together, and the token set ratios of names."""
+    p = pairs(spark, d).withColumns({k: v for k, v in P.ratios().items() if k in ("_n", "_s", "_p", "_f")})
+    m = lambda v: F.round(both("core", F.col(v)), 6)
+    return p.select(
+        *KEY, m("_n.indel_ratio").alias("name_ratio"), m("_n.token_sort_ratio").alias("name_token_sort"), m("_n.token_set_ratio").alias("name_token_set"), m("_s.indel_ratio").alias("name_nospace_ratio"),
+        m("_p.indel_ratio").alias("name_phon_ratio"), F.round("_f.token_set_ratio", 6).alias("fullname_token_set"),
+    )
+
+
 def feat_numbers(spark, d):
     p = pairs(spark, d)
     a, b = X.numbers(L("addr")), X.numbers(R("addr"))
@@ -113,7 +123,7 @@ def feat_base_score(spark, d):
     return c.withColumns({x: F.round(x, 5) for x in ("ctx_gap_s1", "ctx_gap_rec")})
 
 
-QUERIES = {f.__name__: f for f in (feat_edit_ratio, feat_jaro_winkler, feat_ratios, feat_numbers, feat_house_numbers, feat_flags, feat_lengths, feat_tfidf_cosine, feat_weighted_jaccard, feat_coverage, feat_base_score, feat_stage1)}
+QUERIES = {f.__name__: f for f in (feat_edit_ratio, feat_jaro_winkler, feat_ratios, feat_token_ratios, feat_numbers, feat_house_numbers, feat_flags, feat_lengths, feat_tfidf_cosine, feat_weighted_jaccard, feat_coverage, feat_base_score, feat_stage1)}
 
 _P = f"""{base.SQL}, {_RARE}, pj as materialized (select s1, pr.src, r, {", ".join(f"a.{c} as l_{c}, b.{c} as r_{c}" for c in COLS)} from pr join rec a on a.src = 1 and a.id = s1 and a.{_TEST} join rec b on b.src = pr.src and b.id = r and b.{_TEST})"""
 _edit = lambda a, b: f"case when greatest(length({a}), length({b})) = 0 then 1 else 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::double end"
@@ -133,6 +143,20 @@ vw as materialized (select src, id, kind, term, idf, q / sqrt(sum(q * q) over (p
 ORACLE = {
     "feat_edit_ratio": f"{_P} select s1, src, r, {_there('core', f'round({_edit("l_core", "r_core")}, 6)')} as name_edit, {_there('core', f'round({_edit(_ns("l_core"), _ns("r_core"))}, 6)')} as name_nospace, {_there('addr', f'round({_edit("l_addr", "r_addr")}, 6)')} as addr_edit, {_there('core', f'round({_edit("l_phon", "r_phon")}, 6)')} as name_phon from pj",
     "feat_jaro_winkler": f"{_P} select s1, src, r, round(jaro_winkler_similarity(l_core, r_core), 6) as name_jw from pj",
+    "feat_token_ratios": f"""{_P}, ts as (select *, array_to_string(list_sort(string_split(l_core, ' ')), ' ') as l_sort, array_to_string(list_sort(string_split(r_core, ' ')), ' ') as r_sort, replace(l_core, ' ', '') as l_ns, replace(r_core, ' ', '') as r_ns from pj),
+{S.sql_token_sets('tn', 'ts', 'l_core', 'r_core')}, tm as (select * rename (tset as tset_n) from tn), {S.sql_token_sets('tf', 'tm', 'l_name', 'r_name')}
+select s1, src, r, {", ".join(f"{_there('core', f'round({v}, 6)')} as {n}" for n, v in (("name_ratio", S.sql_indel("l_core", "r_core")), ("name_token_sort", S.sql_indel("l_sort", "r_sort")), ("name_token_set", "tset_n"), ("name_nospace_ratio", S.sql_indel("l_ns", "r_ns")), ("name_phon_ratio", S.sql_indel("l_phon", "r_phon"))))}, round(tset, 6) as fullname_token_set from tf""",
+    "feat_house_numbers": f"""{_P}, hn as (select s1, src, r, {_na} as a, {_nb} as b from pj), ht as (select s1, src, r, a, b, case when len(list_filter(a, lambda x: length(x) > 1)) > 0 then list_filter(a, lambda x: length(x) > 1) else a end as p, case when len(list_filter(b, lambda x: length(x) > 1)) > 0 then list_filter(b, lambda x: length(x) > 1) else b end as q from hn),
+hx as (select s1, src, r, x, y from (select s1, src, r, unnest(p) as x, q from ht where len(a) > 0 and len(b) > 0), unnest(q) as t(y)),
+hd as (select s1, src, r, max({S.sql_indel('x', 'y')}) as best, min(case when x = y then 0 else abs(substr(x, 1, 12)::bigint - substr(y, 1, 12)::bigint)::double / greatest(substr(x, 1, 12)::bigint, substr(y, 1, 12)::bigint, 1) end) as rel, max((x != y and (starts_with(x, y) or starts_with(y, x)))::integer) as pre from hx group by all)
+select s1, src, r, case when best is not null then (list_max(list_transform(p, lambda x: {{'l': length(x), 'x': x}})) = list_max(list_transform(q, lambda x: {{'l': length(x), 'x': x}})))::integer::double end as longest_eq,
+case when best is not null then list_contains(q, list_max(list_transform(p, lambda x: {{'l': length(x), 'x': x}})).x)::integer::double end as longest_in, round(best, 6) as best_ratio, round(case when rel > 1 then 1.0 else rel end, 6) as min_reldiff, pre::double as prefix from ht left join hd using (s1, src, r)""",
+    "feat_coverage": f"""{_P}, {_VEC}, ct as (select s1, src, r, 'a' as side, unnest({_words('l_core')}) as t, {_words('r_core')} as o, 1 as os, s1 as oid from pj where l_core != '' and r_core != '' union all select s1, src, r, 'b', unnest({_words('r_core')}), {_words('l_core')}, src, r from pj where l_core != '' and r_core != ''),
+cd as (select distinct t, unnest(o) as o from ct), ce as (select distinct t, o from cd where t = o or {S.sql_indel('t', 'o')} >= 0.8 - 1e-9),
+cw as (select ct.s1, ct.src, ct.r, side, ct.t, vw.idf, exists (select 1 from ce where ce.t = ct.t and list_contains(ct.o, ce.o)) as f from ct join vw on vw.kind = 'nw' and vw.src = os and vw.id = oid and vw.term = ct.t),
+cg as (select s1, src, r, side, sum(case when f then idf else 0 end) / sum(idf) as cov, coalesce(max(case when not f then idf end), 0) as miss, sum((not f)::integer)::double as n from cw group by all)
+select pj.s1, pj.src, pj.r, round(a.cov, 6) as a_cov, round(a.miss, 6) as a_miss, a.n as a_n_miss, round(b.cov, 6) as b_cov, round(b.miss, 6) as b_miss, b.n as b_n_miss
+from pj left join cg a on a.side = 'a' and a.s1 = pj.s1 and a.src = pj.src and a.r = pj.r left join cg b on b.side = 'b' and b.s1 = pj.s1 and b.src = pj.src and b.r = pj.r""",
     "feat_numbers": f"{_P} select s1, src, r, round({_nums(f'len(list_intersect({_na}, {_nb}))::double / len(list_distinct(list_concat({_na}, {_nb})))')}, 6) as num_jacc, {_nums(f'(len(list_intersect({_na}, {_nb})) > 0)::integer')} as num_any, round({_nums(f'len(list_intersect({_na}, {_nb}))::double / least(len({_na}), len({_nb}))')}, 6) as num_contained from pj",
     "feat_flags": f"{_P} select s1, src, r, {_there('postal', '(l_postal = r_postal)::integer')} as postal_eq, {_there('country', '(l_country = r_country)::integer')} as same_country, (src = 3)::integer as is_s3, (l_core = '' or r_core = '')::integer as name_missing, (l_addr = '')::integer as addr_missing_l, (r_addr = '')::integer as addr_missing_r, (l_postal = '' or r_postal = '')::integer as postal_missing, {_there('core', f'({_first("l_core")} = {_first("r_core")})::integer')} as first_eq from pj",
     "feat_lengths": f"{_P} select s1, src, r, abs(length(l_core) - length(r_core))::integer as len_diff, round(least(length(l_core), length(r_core))::double / greatest(length(l_core), length(r_core), 1), 6) as len_ratio, {_count('l_addr')} as ntok_l, {_count('r_addr')} as ntok_r from pj",

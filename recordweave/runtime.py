@@ -79,22 +79,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 
-def once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
-    """What make gives, cut once per session for these inputs (files or folders); made anew when one of their files changes."""
-    fs_conf, state = spark._jsc.hadoopConfiguration(), []
+def memo(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], object]) -> object:
+    """What make gives, once per session for these inputs (files or folders); made anew when one of their files changes."""
+    conf, state = spark._jsc.hadoopConfiguration(), []
     for i in inputs:
         p = spark._jvm.org.apache.hadoop.fs.Path(i)
-        fs = p.getFileSystem(fs_conf)
-        for f in fs.listStatus(p):
+        for f in p.getFileSystem(conf).listStatus(p):
             state.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
-    sc = spark.sparkContext
-    known = sc.__dict__.setdefault("_recordweave_tables", {})
+    known = spark.sparkContext.__dict__.setdefault("_recordweave_known", {})
     key = (name, *inputs)
     if key not in known or known[key][0] != state:
-        known[key] = (state, cut(make()))
+        known[key] = (state, make())
     return known[key][1]
 
 
+def once(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make gives, cut once per session for these inputs. See memo."""
+    return memo(spark, name, inputs, lambda: cut(make()))
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per context, where they may not have it installed."""
     sc = spark.sparkContext

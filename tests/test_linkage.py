@@ -170,9 +170,49 @@ def test_model_learns_and_folds_keep_groups(spark):
     assert M.importance(models[0], ["a", "b"], df).first().feature == "a"
 
 
+def test_threshold_search_against_brute_force(spark):
+    r = random.Random(8)
+    pairs = [(f"q{r.randint(0, 14)}", f"r{i}", round(r.random(), 3), float(r.random() < 0.4)) for i in range(150)]
+    df = spark.createDataFrame(pairs, "q string, r string, p double, y double")
+    true = {f"q{i}": sum(y for q, _, _, y in pairs if q == f"q{i}") + (i % 4 == 0) for i in range(17)}
+    n = spark.createDataFrame([(q, int(k)) for q, k in true.items()], "q string, n_true long")
+
+    def macro(first, add):
+        total = 0.0
+        for q, k in true.items():
+            mine = sorted((x for x in pairs if x[0] == q), key=lambda x: (-x[2], x[1]))
+            kept = [x for i, x in enumerate(mine) if mine[0][2] >= first - 1e-9 and x[2] >= (add if i else first) - 1e-9]
+            tp = sum(x[3] for x in kept)
+            p, c = (tp / len(kept), tp / k) if kept and k else (0, 0)
+            total += float(not kept) if not k else 1.25 * p * c / (0.25 * p + c) if tp else 0.0
+        return total / len(true)
+
+    grid = D.threshold_grid(df, "p", 8)
+    ranked = D.ranked(df, "q", ["r"], "p")
+    assert len(grid) == 8 and all(f == pytest.approx(macro(a, b), abs=1e-8) for a, b, f in D.tune(ranked, n, "q", "y", grid, grid))
+    score, first, add = D.best_thresholds(df, n, "q", ["r"], "p", "y", 8)
+    assert score == pytest.approx(macro(first, add), abs=1e-8) and score >= max(macro(a, b) for a in grid for b in grid) - 1e-9
+    assert D.tune(ranked.limit(0), n, "q", "y", [0.5], [0.5])[0][2] == pytest.approx(sum(k == 0 for k in true.values()) / len(true))
+
+
+def test_models_are_saved_and_score_live_rows_only(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(f"q{i % 40}", float(i % 2), i % 2 + r.random() * 0.8, r.random(), 0.3) for i in range(300)]
+    df = spark.createDataFrame(rows, "s1 string, y double, a double, b double, p1 double")
+    scored, models = M.out_of_fold(df, ["a", "b"], "s1", 3, "p", F.col("b") > 0.2, trees=4, depth=2)
+    assert scored.count() == 300 and scored.filter("p is null").count() == 0
+    m = M.refit(df, ["a", "b"], models, trees=4, depth=2)
+    assert m.getNumTrees == round(sum(x.getNumTrees for x in models) / 3)
+    M.save(m, ["a", "b"], str(tmp_path / "m"))
+    again, names = M.load(str(tmp_path / "m"))
+    one = lambda model: {(x.s1, x.a): x.p2 for x in M.score_live(df, model, names, F.col("a") > 1, "p1", "p2").collect()}
+    assert names == ["a", "b"] and one(m) == one(again) and all((p == 0.3) for (_, a), p in one(m).items() if a <= 1)
+    assert M.by_fold(scored.drop("p"), models, names).count() == 300
+
+
 def test_sibling_counts(spark):
     pairs = spark.createDataFrame([("q", f"r{i}", 0.9 - i / 100) for i in range(30)] + [("q", "low", 0.1)], "q string, r string, p double")
-    rec = spark.createDataFrame([(f"r{i}", f"core {i % 3}", ["1"]) for i in range(30)] + [("low", "", [])], "r string, core string, nums array<string>")
+    rec = spark.createDataFrame([(f"r{i}", f"core {i % 3}", "", ["1"]) for i in range(30)] + [("low", "", "", [])], "r string, core string, addr string, nums array<string>")
     got = {x.r: x for x in C.siblings(pairs, rec, "q", "r", "p").collect()}
     assert got["r0"].sib_n == 29 and got["low"].sib_n == 30 and got["r0"].sib_name_max == 1 and got["low"].sib_name_max is None
     assert got["r0"].sib_num_eq_frac == pytest.approx(1)
@@ -184,7 +224,7 @@ def test_sibling_agreement_takes_every_sibling(spark):
     rec["r65"] = rec["far"] = ("nothing like it", ["77"])
     prob = {f"r{i}": round(0.98 - i / 150, 4) for i in range(70)} | {"far": 0.2}
     pairs = spark.createDataFrame([("q", k, v) for k, v in prob.items()], "q string, r string, p double")
-    got = {x.r: x for x in C.siblings(pairs, spark.createDataFrame([(k, *v) for k, v in rec.items()], "r string, core string, nums array<string>"), "q", "r", "p", block=4).collect()}
+    got = {x.r: x for x in C.siblings(pairs, spark.createDataFrame([(k, v[0], v[0][::-1], v[1]) for k, v in rec.items()], "r string, core string, addr string, nums array<string>"), "q", "r", "p", block=4, queries=spark.createDataFrame([("q", ["1", "77"])], "q string, nums array<string>")).collect()}
 
     def lev(a, b):
         row = list(range(len(b) + 1))
@@ -194,20 +234,21 @@ def test_sibling_agreement_takes_every_sibling(spark):
                 row.append(min(up[j] + 1, row[-1] + 1, up[j - 1] + (x != y)))
         return row[-1]
 
-    assert got["far"].sib_name_max == 1 and got["far"].sib_num_max == 1  # r65 is the 66th best
+    assert got["far"].sib_name_max == 1 and got["far"].sib_num_jacc_max == 1  # r65 is the 66th best
     for k, (core, nums) in rec.items():
         sibs = [(prob[o], *rec[o]) for o in rec if o != k and prob[o] >= 0.5]
         names = [(p, 1 - lev(core, c) / max(len(core), len(c))) for p, c, _ in sibs if core and c]
         sets = [(p, len({*nums} & {*m}) / len({*nums} | {*m}), {*nums} == {*m}) for p, _, m in sibs if nums and m]
         mean = lambda v: sum(x[0] * x[1] for x in v) / sum(x[0] for x in v) if v else None
         want = [max((x[1] for x in names), default=None), mean(names), max((x[1] for x in sets), default=None), mean(sets), sum(x[2] for x in sets) / len(sets) if sets else None]
-        assert [got[k].sib_name_max, got[k].sib_name_wmean, got[k].sib_num_max, got[k].sib_num_wmean, got[k].sib_num_eq_frac] == pytest.approx(want)
+        assert [got[k].sib_name_max, got[k].sib_name_wmean, got[k].sib_num_jacc_max, got[k].sib_num_jacc_wmean, got[k].sib_num_eq_frac] == pytest.approx(want)
+        assert [got[k].sib_addr_max, got[k].sib_addr_wmean] == pytest.approx(want[:2]) and got[k].sib_num_supported == (float(bool({*nums} & {"1", "77"})) if nums else None)
         assert got[k].sib_n == len(sibs)
 
 
 def test_shift_holds_out_every_label(spark):
     rows = [(f"L{i % 7}", float(i // 7 % 2), (i // 7 % 2) * 0.5 + i % 5 / 10) for i in range(84)] + [("one", 1.0, 0.4)]
-    got = {x.held_out: (x.n, x.auc) for x in M.shift(spark.createDataFrame(rows, "country string, y double, a double"), ["a"], "country", trees=1, depth=1).collect()}
+    got = {x.held_out: (x.n, x.auc) for x in M.shift(spark.createDataFrame(rows, "country string, y double, a double"), ["a"], "country", trees=1, depth=1)[0].collect()}
     assert {k: n for k, (n, _) in got.items()} == {**{f"L{i}": 12 for i in range(7)}, "one": 1}
     assert got["one"][1] is None and all(got[f"L{i}"][1] > 0.5 for i in range(7))
 
