@@ -122,20 +122,29 @@ def search(items: Items, doc_ids: np.ndarray, texts: list[str | None]) -> pd.Dat
     return out.sort_values(["n_words", "doc_word", "item_word"], ascending=[False, True, True], kind="stable").drop_duplicates(["doc_id", "item_id"])
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, least: int = 12, shard_rows: int = 4000, most_items: int = 100_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, least: int = 12, shard_rows: int = 4000, block_items: int = 100_000) -> DataFrame:
     """(doc_id, item_id, n_words, doc_word, item_word) of all documents that share at least `least` words in a row with an item.
 
     Training text is cut into shards (Arrow batches of a partition, joined up to shard_rows rows); each gets a suffix array
     over word ids, and every suffix of every item is binary-searched in it. n_words is the longest match of the pair, the
-    word positions count from 0. The items are the fixed evaluation set: their number is checked and they are sent to all
-    executors; more than most_items raise. Null, empty and short texts match nothing; an item given twice under one id
-    counts once; repeated documents each give their rows. No shuffle but the spreading of a small input. doc_id is unique.
+    word positions count from 0. Items are sent to the executors in blocks of about block_items, each of which is searched in
+    all documents; a fixed evaluation set is one block. Null, empty and short texts match nothing; an item given twice under
+    one id counts once; repeated documents each give their rows. No shuffle but the spreading of a small input. doc_id is unique.
     """
-    rows = items.select("item_id", "text").limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} items: search them in blocks")
     kind, key = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], least))
+    texts = spread(docs.select("doc_id", "text").filter("text is not null"), "doc_id")
+    sent = items.select("item_id", "text").filter("text is not null")
+    blocks, found = max(1, -(-sent.count() // block_items)), None
+    for k in range(blocks):
+        rows = (sent if blocks == 1 else sent.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)).collect()
+        one = _searched(texts, docs.sparkSession.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], least)), shard_rows, f"doc_id {kind}, item_id {key}, n_words int, doc_word int, item_word int")
+        found = one if found is None else found.unionByName(one)
+    best = F.max(F.struct("n_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i")))
+    return found.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.n_words", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"))
+
+
+def _searched(texts: DataFrame, shared, shard_rows: int, schema: str) -> DataFrame:
+    """The longest match per document and item of a shard, of the broadcast items."""
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -151,10 +160,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = 12, shard_rows: i
             if len(found := search(shared.value, both.doc_id.to_numpy(), both.text.tolist())):
                 yield found
 
-    found = spread(docs.select("doc_id", "text").filter("text is not null"), "doc_id").mapInPandas(shards, f"doc_id {kind}, item_id {key}, n_words int, doc_word int, item_word int")
-    return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("m")).select("doc_id", "item_id", "m.n_words", (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"))
+    return texts.mapInPandas(shards, schema)
 
 
 def remove_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
-    """Documents without the leaking ones; a null doc_id stays."""
+    """Documents without the leaking ones, all their columns; a null doc_id stays."""
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")

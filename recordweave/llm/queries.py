@@ -41,6 +41,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return spellings.spelling_pairs(_sources(spark, d, 1, 2))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record: the class of its name and its number of links."""
+    return spellings.spelling_classes(_sources(spark, d, 1, 2))
+
+
+def p5_locations(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record: its location and its number of links."""
+    return locations.location_classes(_sources(spark, d, 1, 2, 3), clean=_sources(spark, d, 1))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return locations.location_pairs(_sources(spark, d, 1, 2, 3), clean=_sources(spark, d, 1))
 
@@ -68,8 +78,9 @@ def p8_longest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return leaks.remove_leaks(docs.select("doc_id"), leaks.find_leaks(docs, table(spark, d, "eval_items")))
+    """The documents that take over no passage, as they are."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return leaks.remove_leaks(docs, leaks.find_leaks(docs, table(spark, d, "eval_items")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +97,7 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.length_limits(docs, "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p5_found, p6_found, p6_positions, p7_ids, p8_found, p8_longest, p8_clean, p9_found, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p3_classes, p5_found, p5_locations, p6_found, p6_positions, p7_ids, p8_found, p8_longest, p8_clean, p9_found, p9_rates, p9_limits)}
 
 _TOP = """
 with s as (select s1_pos, src, r_pos, greatest({g}) as score from test_cands),
@@ -94,7 +105,14 @@ u as (select s1_pos, src, r_pos, max(score) as score from s where score is not n
 r as (select *, row_number() over (partition by s1_pos order by score desc, src, r_pos) as position from u)
 """.format(g=", ".join(f"case when isnan({c}) then null else {c} end" for c in SCORES))
 
+_WORDS = "regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\\p{L}\\p{M}\\p{N}]+')"
+_RUNS = f"""with dw as (select doc_id, {_WORDS} as l from documents), iw as (select item_id, {_WORDS} as l from eval_items),
+dg as (select doc_id, unnest(list_transform(range(1, len(l) - 10), lambda i: array_to_string(l[i:i + 11], ' '))) as g from dw where len(l) >= 12), ig as (select item_id, unnest(list_transform(range(1, len(l) - 10), lambda i: array_to_string(l[i:i + 11], ' '))) as g from iw where len(l) >= 12),
+lk as materialized (select distinct doc_id, item_id from dg join ig using (g))"""
+
 ORACLE = {
+    "p8_found": _RUNS + " select doc_id, item_id from lk",
+    "p8_clean": _RUNS + " select doc_id, text, lang, source from documents where doc_id not in (select doc_id from lk)",
     "p6_found": _TOP + "select s1_pos, src, r_pos from r where position <= 5",
     "p6_positions": _TOP + "select s1_pos, src, r_pos, score, position::integer as position from r where position <= 5",
     "p9_limits": """

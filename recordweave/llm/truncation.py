@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordweave.runtime import cut, spread
+from recordweave.runtime import by_key, cut, spread
 
 TOKENS = regex.compile(r"[\p{L}\p{M}]+|\p{N}+|[.!?।。…]+|[^\s]").findall
 # what may stand behind a break or an end: space, signs, closing quotes and brackets
@@ -135,6 +135,17 @@ def count_contexts(docs: DataFrame, text: str, vocab) -> DataFrame:
     return docs.select(text).mapInPandas(count, "context string, n long, ends long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
+def broken_words(last: DataFrame, words: DataFrame) -> DataFrame:
+    """(last): last words that stand nowhere else in the corpus and begin a longer word that is known: that word was cut.
+
+    last has the words in `last`; words is the table of counts. Only beginnings of words that stand at least twice are made.
+    """
+    asked = last.filter("last is not null").distinct().join(by_key(words.select(F.col("word").alias("last"))), "last", "left_anti")
+    starts = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    known = words.filter("n >= 2 and length(word) > 1").select(F.explode(starts).alias("last")).distinct()
+    return asked.join(by_key(known), "last", "left_semi")
+
+
 def length_limits(docs: DataFrame, text: str, source: str, least: int = 5, factor: float = 4.0) -> DataFrame:
     """(source, unit, at_limit): sources whose lengths, in characters or bytes, pile up at their maximum.
 
@@ -157,7 +168,8 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     limit: the length is at a spike of its source's length histogram (characters or bytes) and no sentence ends there.
     broken: a cut tag, entity or character ends the text. open: the last words, without what was put behind them, are ones
     after which sentences of this corpus don't end (share of ends at most `unlikely`, counted over all texts, longest
-    context of up to three words seen often enough), or the text ends in a fragment: a rare lower-case word after a common one.
+    context of up to three words seen often enough), or the text ends in a fragment: a rare lower-case word after a common one,
+    or a word that no other text has and that begins one which others have (see broken_words).
     Texts with an end mark, headings and lists, whole sentences without mark or with dots are whole, as are null, empty and
     blank texts. A null source is a source. The vocabulary sent to the executors has at most 1 / share words.
     """
@@ -182,14 +194,16 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 if how == "ended" or not s:
                     continue
                 if limit:
-                    rows.append((d, src, LIMIT, [], False, False))
+                    rows.append((d, src, LIMIT, [], False, False, None))
                     continue
                 if how == "broken":
-                    rows.append((d, src, ODD, [], False, False))
+                    rows.append((d, src, ODD, [], False, False, None))
                     continue
-                x = [token_class(w, known) for w in TOKENS(s)]
+                raw = TOKENS(s)
+                x = [token_class(w, known) for w in raw]
                 if not (x[-1][0] == "<" and len(x[-1]) == 3 or x[-1][0].isalpha()):
                     continue
+                last = raw[-1] if raw[-1][0].isalpha() and raw[-1] not in known else None
                 heading = is_heading(x, s)
                 before = x[-3:-1]
                 if heading:  # two common words before a rare one
@@ -198,19 +212,23 @@ def find_truncated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     fragment = x[-1] == "<r>" and bool(before) and (word(before[-1]) or before[-1] in ("<N>", "<D>")) and sum(map(word, x)) > 2
                 cased = s[-1].lower() != s[-1].upper()
                 if not fragment and (not any(map(word, x[-3:])) or heading and not cased or "://" in s.split()[-1]):
+                    if last:
+                        rows.append((d, src, OPEN, [], heading, False, last))
                     continue
-                rows.append((d, src, OPEN, contexts(x, len(x) - 1), heading, fragment))
+                rows.append((d, src, OPEN, contexts(x, len(x) - 1), heading, fragment, last))
             if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "source", "why", "contexts", "heading", "fragment"])
+                yield pd.DataFrame(rows, columns=["doc_id", "source", "why", "contexts", "heading", "fragment", "last"])
 
     kind = {k: v for k, v in marked.dtypes}
-    ends = cut(marked.mapInPandas(tails, f"doc_id {kind['doc_id']}, source {kind['source']}, why string, contexts array<string>, heading boolean, fragment boolean"))
+    ends = cut(marked.mapInPandas(tails, f"doc_id {kind['doc_id']}, source {kind['source']}, why string, contexts array<string>, heading boolean, fragment boolean, last string"))
+    part = broken_words(ends.select("last"), words).withColumn("part", F.lit(True))
+    ends = ends.join(by_key(part), "last", "left").withColumn("fragment", F.col("fragment") | F.coalesce("part", F.lit(False)))
     sure = ends.filter(F.col("why") != OPEN).select("doc_id", "source", "why")
     asked = ends.filter((F.col("why") == OPEN) & ~F.col("fragment")).select("doc_id", "source", "heading", F.posexplode("contexts").alias("order", "context"))
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     counts = count_contexts(own, "text", vocab).filter(F.col("n") >= seen)
     counts = counts.select("context", "n", "ends", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    known = asked.join(counts, ["context", "salt"]).groupBy("doc_id").agg(F.first("source").alias("source"), F.first("heading").alias("heading"), F.max(F.struct("order", "context", "n", "ends")).alias("m"))
+    known = asked.join(by_key(counts), ["context", "salt"]).groupBy("doc_id").agg(F.first("source").alias("source"), F.first("heading").alias("heading"), F.max(F.struct("order", "context", "n", "ends")).alias("m"))
     rate = F.col("m.ends") / F.col("m.n")
     plain = ~F.col("m.context").rlike("<[NrUD]>")
     known = known.filter(F.col("m.context").rlike(r"(^|\s)\p{L}"))

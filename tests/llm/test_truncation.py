@@ -60,6 +60,13 @@ def test_finds_cut_texts(spark):
     assert limits == {("limited", "chars"): 120, ("limited", "bytes"): 120}
 
 
+def test_broken_words(spark):
+    words = spark.createDataFrame([("October", 5), ("Oct", 1), ("पुराना", 2), ("once", 1)], "word string, n long")
+    last = spark.createDataFrame([("Octo",), ("Oct",), ("Octo",), ("पुर",), ("onc",), ("October",), (None,)], "last string")
+    assert sorted(x["last"] for x in T.broken_words(last, words).collect()) == ["Octo", "पुर"]
+    assert T.broken_words(last, words.limit(0)).count() == 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert T.find_truncated(df).count() == 0 and T.source_rates(df, T.find_truncated(df)).count() == 0
