@@ -2,7 +2,7 @@
 
 The table is range-partitioned on (group, order...), so a group of any size lies in consecutive partitions. A partition's
 rows of one group continue the group's rows of earlier partitions; only the first group of a partition can do so, hence
-the table of offsets has at most one row per partition and group part, and is added by an ordinary join.
+the table of offsets has at most one row per partition, and is added by a broadcast join.
 """
 
 from __future__ import annotations
@@ -70,10 +70,15 @@ def _sorted_runs(df: DataFrame, group: list[str], order: list[Column], weight: s
 
 
 def _offsets(runs: DataFrame, group: list[str]) -> DataFrame:
-    """Sum of each group's earlier partitions; rows only for group parts that have one (at most one a partition)."""
-    ends = runs.groupBy(*group, "_part").agg(F.max("_run").alias("_sum"))
-    w = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return ends.withColumn("_before", F.sum("_sum").over(w)).filter("_before is not null").select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), "_before")
+    """(group as _g0.., _p, _before): sum of the group's rows before partition _p, one row a partition of the sort at most.
+
+    Only a partition's last group can go on in the next one, so of each partition that group and its sum are kept.
+    """
+    ends = runs.groupBy("_part").agg(F.max(F.struct(*group, "_run")).alias("_e"))
+    ends = ends.select("_part", *[F.col(f"_e.{g}").alias(f"_g{i}") for i, g in enumerate(group)], F.col("_e._run").alias("_sum"))
+    upto = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    following = F.lead("_part").over(Window.orderBy("_part"))
+    return ends.select(*[f"_g{i}" for i in range(len(group))], following.alias("_p"), F.sum("_sum").over(upto).alias("_before")).filter("_p is not null")
 
 
 def _placed(runs: DataFrame, group: list[str]) -> DataFrame:
