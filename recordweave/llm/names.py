@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import re
 
+from recordweave.functions import fixed
+from recordweave.functions.text import domain
 from recordweave.functions.translit import fold, romanise
 
 # Word lists in natural order.
@@ -42,10 +44,10 @@ GIVEN: dict[str, frozenset] = {}
 for _full, _forms in NICKNAMES.items():
     for _f in [_full, *_forms.split()]:
         GIVEN[_f] = GIVEN.get(_f, frozenset()) | {_full}
-TRADING_AS = re.compile(r"\b(?:d\s*/\s*b\s*/\s*a|dba|a\s*/\s*k\s*/\s*a|aka|t\s*/\s*a|trading\s+as|doing\s+business\s+as|also\s+known\s+as)\b", re.I)
-FORMERLY = re.compile(r"\b(?:f\s*/\s*k\s*/\s*a|fka|formerly(?:\s+known\s+as)?|n[eé]e?)\b", re.I)
-DOMAIN = re.compile(r"^\W*(?:https?://)?(?:www\.)?([a-z0-9-]+)\.(?:example|com|net|org|in|co\.in|fr|biz|info|us|io|co)\b", re.I)
-LEET = str.maketrans("0134578", "oleastb")
+TRADING_AS = re.compile(r"\b(?:" + "|".join(fixed.TRADING_AS) + r")\b", re.I)
+FORMERLY = re.compile(r"\b(?:" + "|".join([*fixed.FORMERLY, "formerly", "n[eé]e?"]) + r")\b", re.I)
+HOST = re.compile(r"^\W*" + domain([*fixed.DOMAIN_ENDINGS, "example"])[1:], re.I)  # example: the ending reserved for examples
+LEET = str.maketrans(*fixed.LEET)
 _steps = lambda *pairs: [(re.compile(a), b) for a, b in pairs]
 CONSONANTS = _steps(("ph", "f"), ("[ck]h?|q|ck", "k"), ("w", "v"), ("z", "j"), ("([bdgtj])h", r"\1"), ("y", "i"), (r"([^aeiou])\1+", r"\1"))
 VOWELS = _steps(("aa", "a"), ("ee|ii", "i"), ("oo|ou", "u"), ("au|oa", "o"), ("ai|ei", "e"), (r"(.)\1+", r"\1"))
@@ -129,7 +131,7 @@ def proper_words(raw: str | None) -> tuple[list[str], list[str]]:
     indic = any("ऀ" <= c <= "ൿ" for c in raw)
     s = (fold(romanise(raw)) or "").lower().replace("’", "'")
     s = parts(s)
-    if m := DOMAIN.match(s):
+    if m := HOST.match(s):
         s = m[1]
     s = re.sub(r"\bm\s*/\s*s\b\.?", " ", s)
     s = re.sub(r"\b((?:[a-z]\.){2,}[a-z]?)(?![a-z])", lambda m: m[1].replace(".", ""), s)
