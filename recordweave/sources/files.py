@@ -53,6 +53,23 @@ def cached(df: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def store(features: DataFrame, path: str, by: list[str]) -> DataFrame:
+    """Feature rows kept at path, a folder per value of by, and read from there; written only where no complete store is. Column order and names stay."""
+    spark = features.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        features.write.mode("overwrite").partitionBy(*by).parquet(path)
+    kept = spark.read.parquet(path)
+    if set(kept.columns) != set(features.columns):
+        raise ValueError(f"the store at {path} has other columns")
+    return kept.select(*features.columns)
+
+
+def lookup(stored: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The stored rows of the given keys; a key given twice counts once, one that isn't stored has no row."""
+    return stored.join(keys.select(*on).distinct(), on, "left_semi")
+
+
 def write_summary(values: dict, path: str) -> None:
     """A run's figures as JSON; values are scalars, lists and dicts."""
     Path(path).write_text(json.dumps(values, indent=1, sort_keys=True))

@@ -137,6 +137,16 @@ def test_validation_finds_each_fault(spark):
     assert not V.passed(report)
 
 
+def test_feature_store(spark, tmp_path):
+    f = spark.createDataFrame([("a", 2, "x", 0.5), ("a", 3, "y", None), ("b", 2, "x", 0.25)], "s1 string, src int, r string, v double")
+    kept = IO.store(f, str(tmp_path / "f"), ["src"])
+    assert kept.columns == f.columns and set(kept.collect()) == set(f.collect()) == set(IO.store(f.limit(0), str(tmp_path / "f"), ["src"]).collect())
+    keys = spark.createDataFrame([("a", 2, "x"), ("a", 2, "x"), ("z", 2, "x")], "s1 string, src int, r string")
+    assert [tuple(x) for x in IO.lookup(kept, keys, ["s1", "src", "r"]).collect()] == [("a", 2, "x", 0.5)]
+    with pytest.raises(ValueError):
+        IO.store(f.drop("v"), str(tmp_path / "f"), ["src"])
+
+
 def test_files_round_trip(spark, tmp_path):
     q = spark.createDataFrame([("S1-2",), ("S1-1",)], "k string")
     p = spark.createDataFrame([("S1-1", 3, 1, "S3-1"), ("S1-1", 2, 5, "S2-5"), ("S1-1", 2, 1, "S2-1")], "k string, src int, pos int, id string")
