@@ -59,6 +59,27 @@ def test_nearest_is_exact_with_any_budget(spark, budget):
     assert got == want and whole == (budget > 1000)
 
 
+@pytest.mark.parametrize(("blocks", "dense"), [((10**6, 10**6), 10**6), ((10, 60), 10**6), ((20, 100), 3), ((10**6, 10**6), 8)])
+def test_best_is_exact_with_any_blocks_and_keeps_no_table_of_pairs(spark, blocks, dense):
+    r = random.Random(dense)
+    words = [f"w{i}" for i in range(30)]
+    vec = lambda: {w: r.random() + 0.05 for w in r.choices(words, weights=[1 / (i + 1) for i in range(30)], k=r.randint(1, 6))}
+    unit = lambda v: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+    q, t = ({i: unit(vec()) for i in range(n)} for n in (25, 120))
+    t |= {i + 200: v for i, v in t.items()}  # ties
+    rows = lambda vs, f: spark.createDataFrame([(*f(i), "p" if i % 5 else "o", list(v), list(v.values())) for i, v in vs.items()], f"{'q int' if len(f(0)) == 1 else 'g int, t int'}, pool string, terms array<string>, ws array<double>")
+    s = tfidf.best(rows(q, lambda i: (i,)), rows(t, lambda i: (i % 2, i)), ["q"], ["g", "t"], "pool", 3, "g", blocks, dense)
+    got = {(x.q, x.t, x["rank"]) for x in tfidf.top_k(s, ["q", "g"], "t", 3).collect()}
+    want = set()
+    for a, v in q.items():
+        for k in (0, 1):
+            sims = [(-round(sum(x * u.get(w, 0) for w, x in v.items()), 6), b) for b, u in t.items() if b % 2 == k and bool(a % 5) == bool(b % 5)]
+            want |= {(a, b, i) for i, (_, b) in enumerate(sorted(x for x in sims if x[0] < 0)[:3])}
+    assert got == want
+    if min(blocks) == 10**6:
+        assert s.count() <= 25 * 2 * 3
+
+
 def test_records_without_any_country_meet(spark):
     df = records(spark, [(1, "a", "", "foo bar", "", ""), (2, "b", "", "foo bar", "", ""), (3, "c", "", "foo baz", "", "")])
     found, back = B.run_pass(df, B.Pass(F.col("core"), 0, 1.0, 5), 1)
