@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordweave.llm import locations, matching, spellings
+from recordweave.llm.names import edits
 from recordweave.llm.segments import similar
 
 
@@ -133,3 +134,49 @@ def test_calibration_separates():
     w = matching.calibrate(x, y)
     p = 1 / (1 + np.exp(-x @ w))
     assert ((p > 0.5) == (y > 0.5)).mean() > 0.9
+
+
+def test_edits_equal_the_table_of_distances():
+    r = random.Random(5)
+
+    def table(a, b):  # distances with swaps of neighbours, cell by cell
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    for letters in ("ab", "abcdef"):
+        for _ in range(1500):
+            a = [r.choice(letters) for _ in range(r.randint(0, 9))]
+            b = [x if r.random() < 0.8 else r.choice(letters) for x in a if r.random() < 0.9]
+            i = r.randint(0, len(b))
+            b[i : i + 2] = b[i : i + 2][::-1]
+            a, b = "".join(a), "".join(b)
+            for most in (0, 1, 2, 5):
+                assert edits(a, b, most) == min(table(a, b), most + 1), (a, b)
+
+
+def test_pairs_that_no_name_can_save_are_left_out_and_no_other(spark):
+    r = np.random.default_rng(2)
+    cn, cs, s = r.random(400), r.random(400), r.choice([-1.0, 0.0, 0.1, 0.5, 0.9, 1.0], 400)
+    left = matching.hopeful(cn, cs, s, matching.DEFAULT, 0.03)
+    best = np.max([matching.vector(cn, cs, np.full(400, n), s) @ matching.DEFAULT for n in [-1.0, *np.linspace(0, 1, 41)]], axis=0)
+    assert (left == (1 / (1 + np.exp(-best)) >= 0.03)).all() and 0 < left.sum() < 400
+    two = spark.createDataFrame([(i, ["kutudem", "buvapos"], ["kutudem", "buvapos"], [], "12", st, st, []) for i, st in ((1, "gosibagashamor"), (2, "gosibagashamor"), (3, "luleotirim"))], "pid long, " + matching.FIELDS)
+    pairs = spark.createDataFrame([(1, 2, 0.9, 0.9), (1, 3, 0.9, 0.3)], "s1 long, other long, cos_name double, cos_street double")
+    whole = {x.other: x for x in matching.features(pairs, two).collect()}
+    few = matching.features(pairs, two, (matching.DEFAULT, 0.5 / 16)).collect()
+    assert set(whole) == {2, 3} and few == [whole[2]]
+
+
+def test_rows_are_added_place_by_place():
+    r = np.random.default_rng(1)
+    at, rows, m = r.integers(0, 9, 200), r.random((200, 4)), np.zeros((9, 4))
+    want = m.copy()
+    np.add.at(want, at, rows)
+    matching.add_rows(m, at, rows)
+    matching.add_rows(m, at[:0], rows[:0])
+    assert (m == want).all()
