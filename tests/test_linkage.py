@@ -80,6 +80,26 @@ def test_best_is_exact_with_any_blocks_and_keeps_no_table_of_pairs(spark, blocks
         assert s.count() <= 25 * 2 * 3
 
 
+def test_blocks_meet_in_rounds_that_write_only_the_best(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(1 if i < 25 else 2 + i % 2, f"r{i:03d}", "XYZ"[i % 3] if i % 7 else "", " ".join(r.choice(words) for _ in range(r.randint(1, 6))), "", "") for i in range(150)]
+    df, spec = records(spark, rows), B.Pass(F.col("core"), 0, 1.0, 3)
+    want = [{tuple(x) for x in y.collect()} for y in B.run_pass(df, spec, 2)]
+    plain, real, written = tfidf.vectors, tfidf.best, []
+
+    def small(*x):
+        y = real(*x, blocks=(30, 50), at_once=200)
+        written.append((x[2], [spark.read.parquet(f).count() for f in sorted({f.rsplit("/", 1)[0] for f in y.inputFiles()})]))
+        return y
+
+    monkeypatch.setattr(B, "best", small)
+    monkeypatch.setattr(B, "vectors", lambda *x: plain(*x, most=100))
+    assert [{tuple(x) for x in y.collect()} for y in B.run_pass(df, spec, 2)] == want
+    n = sum(3 if not x[2] else 1 for x in rows if x[0] == 1)  # source1 records, once a pool
+    assert all(len(w) > 3 for _, w in written) and max(written[0][1]) <= 2 * 3 * n
+
+
 def test_records_without_any_country_meet(spark):
     df = records(spark, [(1, "a", "", "foo bar", "", ""), (2, "b", "", "foo bar", "", ""), (3, "c", "", "foo baz", "", "")])
     found, back = B.run_pass(df, B.Pass(F.col("core"), 0, 1.0, 5), 1)
