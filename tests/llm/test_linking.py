@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from recordweave.llm import locations, matching, spellings
+from recordweave.llm import locations, matching, segments, spellings
 from recordweave.llm.names import edits
 from recordweave.llm.segments import similar
 
@@ -180,3 +180,10 @@ def test_rows_are_added_place_by_place():
     matching.add_rows(m, at, rows)
     matching.add_rows(m, at[:0], rows[:0])
     assert (m == want).all()
+
+
+def test_places_of_segments_are_worked_out_once_a_length(spark):
+    df = spark.createDataFrame([("abcdefg", 2, True), ("xyz", 1, False), ("", 1, False)], "s string, k int, wide boolean")
+    got = {(x.k, x.n, x.wide): {tuple(g) for g in x.g} for x in segments._shapes(df).collect()}
+    assert set(got) == {(k, n, w) for k, most in ((2, 7), (1, 3)) for n in range(most + 1) for w in (True, False)}
+    assert got[1, 3, False] == {(2, 0, 0, 1), (2, 1, 2, 1), (3, 0, 0, 1), (3, 1, 1, 2)}
