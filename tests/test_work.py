@@ -1,4 +1,4 @@
-"""How work is spread: tasks that pairs are joined in, folds that are fitted at once."""
+"""How much is done, and how far apart: passes that are run, tasks that pairs are joined in, folds that are fitted at once."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recordweave.operators import model as M
 from recordweave.operators import pairs as P
+from recordweave.plans import base, block
 from recordweave.runtime import parallelism
 
 RECORDS = [(1, "a", "X", "smith sons", "1 main st"), (2, "b", "X", "smith sons", "1 main st"), (2, "c", "X", "smith sons ltd", "1 main st"), (3, "d", "X", "jones", "2 high st"), (1, "e", "X", "jones", "2 high st")]
@@ -17,6 +18,20 @@ def _records(spark):
     return spark.createDataFrame(RECORDS, "src int, id string, country string, core string, addr string").withColumn("phon", F.col("core"))
 
 
+def test_sibling_queries_run_only_the_pass_they_read(spark, monkeypatch):
+    run, ran = block.B.run_pass, []
+    monkeypatch.setattr(base, "records", lambda *_: _records(spark))
+    monkeypatch.setattr(base, "truth", lambda *_: spark.createDataFrame([("a", "b")], "s1 string, r string"))
+    monkeypatch.setattr(block, "once", lambda _s, _n, _i, make: make())
+    monkeypatch.setattr(block.B, "passes", lambda p=block.B.passes(): {n: x._replace(max_df=1.0) for n, x in p.items()})
+    monkeypatch.setattr(block.B, "run_pass", lambda r, spec, k=0: ran.append((spec.chars, spec.k)) or run(r, spec, k))
+    wanted = {tuple(x) for x in block.round1(spark, "", "test").filter("rank_na < 255").select("s1", "src", "r", "rank_na", "sim_na").collect()}
+    ran.clear()
+    assert {tuple(x) for x in block._found(spark, "", "test").collect()} == wanted
+    block.pass_sibling(spark, "")
+    assert ran == [(0, 10)] * 2
+
+
 def test_pairs_are_joined_in_tasks_for_every_core(spark):
     rec = _records(spark)
     pairs = spark.createDataFrame([("a", 2, "b"), ("e", 3, "d")], "s1 string, src int, r string")
