@@ -29,7 +29,8 @@ def test_sibling_queries_run_only_the_pass_they_read(spark, monkeypatch):
     ran.clear()
     assert {tuple(x) for x in block._found(spark, "", "test").collect()} == wanted
     block.pass_sibling(spark, "")
-    assert ran == [(0, 10)] * 2
+    block.sibling_variants(spark, "")
+    assert ran == [(0, 10)] * 3
 
 
 def test_pairs_are_joined_in_tasks_for_every_core(spark):
