@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from threading import Barrier
 
 from pyspark.sql import functions as F
 
+from recordweave.functions import strings as S
+from recordweave.operators import context as C
 from recordweave.operators import model as M
 from recordweave.operators import pairs as P
 from recordweave.plans import base, block
@@ -58,3 +61,21 @@ def test_folds_are_fitted_at_once(spark, monkeypatch):
     assert len(models) == 3 and p.count() == 400
     held = [sorted({x.g for x in p.filter(F.col("fold") == k).select("g").distinct().collect()}) for k in range(3)]
     assert sum(map(len, held)) == 40
+
+
+def test_edit_ratios_by_bits_equal_the_plain_ones(spark):
+    draw = random.Random(5)
+    text = lambda most: "".join(draw.choice("aab \u00e9\U0001f600") for _ in range(draw.randint(0, most)))
+    rows = [(text(m), text(m)) for m in (3, 12, 64, 66, 90) for _ in range(120)] + [("a" * 64, "b" * 64), ("a" * 65, "a" * 66), ("", ""), ("", "abc"), (None, "a"), (None, None)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", S.edit_ratio_by_bits(F.col("a"), F.col("b")).alias("x"), S.edit_ratio(F.col("a"), F.col("b")).alias("y")).collect()
+    assert len(got) == len(rows) and all(r.x == r.y for r in got)
+
+
+def test_siblings_are_compared_by_batches(spark, capsys):
+    pairs = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.8), (1, "c", 0.7)], "q int, rec string, p double")
+    rec = spark.createDataFrame([("a", "smith", "1 main st", ["1"]), ("b", "smyth", "1 main st", ["1"]), ("c", "jones", "2 high st", ["2"])], "rec string, core string, addr string, nums array<string>")
+    s = C.siblings(pairs, rec, "q", "rec", "p")
+    got = {r.rec: (r.sib_name_max, r.sib_addr_max) for r in s.collect()}
+    assert got["a"] == (0.8, 1.0) and got["b"] == (0.8, 1.0)
+    s.explain()
+    assert "ArrowEval" in capsys.readouterr().out
