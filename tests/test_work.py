@@ -11,6 +11,7 @@ from recordweave.functions import strings as S
 from recordweave.operators import context as C
 from recordweave.operators import model as M
 from recordweave.operators import pairs as P
+from recordweave.operators import tfidf
 from recordweave.plans import base, block
 from recordweave.runtime import parallelism
 
@@ -79,3 +80,15 @@ def test_siblings_are_compared_by_batches(spark, capsys):
     assert got["a"] == (0.8, 1.0) and got["b"] == (0.8, 1.0)
     s.explain()
     assert "ArrowEval" in capsys.readouterr().out
+
+
+def test_vectors_keep_texts_not_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", "", "oak hill oak"), (1, "b", "", "oak hill"), (2, "c", "", "hill elm"), (2, "c", "X", "oak")], "src int, id string, country string, core string")
+    cut, kept = tfidf.cut, []
+    monkeypatch.setattr(tfidf, "cut", lambda df: kept.append(df.columns) or cut(df))
+    plain = {(x.src, x.id): x for x in tfidf.vectors(docs, ["src", "id"], F.col("core"), tfidf.word_terms, "country", 4, 2, 1.0).collect()}
+    assert "x" in kept[0] and not any("t" in c for c in kept)
+    parted = {(x.src, x.id): x for x in tfidf.vectors(docs, ["src", "id"], F.col("core"), tfidf.word_terms, "country", 4, 2, 1.0, most=2).collect()}
+    look = lambda v: {k: (sorted(x.labels), sorted(round(r, 9) for r in x.rs), round(x.norm, 9)) for k, x in v.items()}
+    assert look(plain) == look(parted) and set(plain) == {(1, "a"), (1, "b"), (2, "c")}
+    assert sorted(plain[2, "c"].labels) == ["", "X"] and len(plain[1, "a"].terms) == 2
