@@ -39,3 +39,28 @@ def test_models_and_thresholds_of_the_shift_check_see_every_pair(spark, monkeypa
     fitted.clear()
     got = {x.held_out: x.n for x in Q.shift_check(spark, "").collect()}
     assert got == {"A": 80, "B": 40} and fitted == [40, 80]
+
+
+@pytest.mark.parametrize("all_drawn", [False, True])
+def test_density_match_scores_both_stages_anew(spark, monkeypatch, all_drawn):
+    monkeypatch.setattr(M, "predict", lambda model, df, out="p": df.withColumn(out, F.expr(model)))
+    monkeypatch.setattr(Q.IO, "uniform", lambda key: F.when(key == "b", 0.0 if all_drawn else 0.9).otherwise(0.1))
+    first, second = "base / ctx_n_rec", "p1_rec_sum + sib_n"
+    pairs = [("a", "x", 1.2, 0, 3), ("b", "x", 0.8, 0, 3), ("c", "x", 0.5, 0, 3), ("a", "y", 0.7, 0, 1), ("b", "y", 0.6, 1, 2), ("a", "w", 0.015, 0, 2), ("b", "w", 0.001, 0, 2)]
+    rows = [(s, 2, r, p, float(two), float(n), p / n) for s, r, p, two, n in pairs]
+    u = _pairs(spark.createDataFrame(rows, "s1 string, src int, r string, base double, is_round2 double, ctx_n_rec double, p1 double"))
+    rec = [(1, s, "X", f"core {s}", "", "") for s in "abc"] + [(2, r, "X", f"core {r}", "", "") for r in "xyw"]
+    rec = spark.createDataFrame(rec, "src int, id string, country string, core string, addr string, nums string")
+    plain = Q.K.stage2_rows(*[u.filter(F.col("is_round2") == k).drop("is_round2") for k in (0, 1)], rec)
+    monkeypatch.setattr(Q.base, "records", lambda *_: rec)
+    monkeypatch.setattr(Q, "first_stage", lambda *_: (None, None, first))
+    monkeypatch.setattr(Q, "second_stage", lambda *_: (None, None, second, None))
+    monkeypatch.setattr(Q, "second_rows", lambda *_: plain)
+    got = {(x.s1, x.r): (x.p, x.p_matched) for x in Q.density_match(spark, "").collect()}
+    assert len(got) == len(pairs)
+    if all_drawn:
+        assert all(p == pytest.approx(m) for p, m in got.values())
+    else:  # a and c compete, b doesn't: a's pair of x becomes a sibling, and that of w live
+        want = {("a", "x"): 0.6 + 0.25 + 1, ("b", "x"): 0.8 / 3 + 0.6 + 0.25, ("c", "x"): 0.25 + 0.6, ("a", "y"): 0.7 + 1, ("b", "y"): 0.3 + 0.7, ("a", "w"): 0.015 + 2, ("b", "w"): 0.0005}
+        assert {k: m for k, (_, m) in got.items()} == pytest.approx(want)
+        assert got["a", "w"][0] == pytest.approx(0.0075) and got["a", "x"][0] == pytest.approx(0.4 + 0.8 / 3 + 0.5 / 3 + 1)
